@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_counts
+from . import bpe, fingerprints, langid, packing, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,15 +29,44 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.grades_from_labels(_table(spark, sf_dir, "labels")))
+    return quality.grade(docs, model).withColumn("kept", F.col("selected"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    out = langid.predict(docs, net)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
+    "op4_quality": op4_quality,
     "op6_token_counts": op6_token_counts,
+    "op8_langid": op8_langid,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
