@@ -19,6 +19,7 @@ their ids, as there.
 from __future__ import annotations
 
 import json
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import arrow_schema, rowwise
 from .vocab import BYTE_BPE
@@ -128,7 +130,7 @@ class ForcedBoundaryBPE:
                     ids.append(i)
                 else:
                     ids.extend(encode(piece))
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> bytes:
         if not self.word_cuts:
@@ -211,8 +213,7 @@ def decode_ids(df: DataFrame, ids_col: str = "ids", vocabulary: str = BYTE_BPE,
                 text = pa.array([c.decode(x or b"") for x in part.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, text_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    return src.mapInArrow(run, f"{schema}, `{text_col}` string")
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def _small(batch: pa.RecordBatch):

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import slices
 
@@ -187,5 +188,5 @@ def predict(docs: DataFrame, net: ByteCNN, id_col: str = "doc_id", text_col: str
             lang, score = predict_texts(net, rows.column(len(kept)).to_pylist())
             yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*rows.schema.names[: len(kept)], *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(kept)])
-    return src.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[: len(kept)], *made]))

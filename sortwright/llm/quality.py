@@ -20,6 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import slices
 
@@ -206,6 +207,5 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             arrays = [pa.array(tails.sum(axis=1)), *(pa.array(np.ascontiguousarray(tails[:, i])) for i in range(k)), pa.array(tails[:, -1] >= threshold)]
             yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], *arrays], names=[*rows.schema.names[: len(kept)], *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(kept)])
-    tail_fields = ", ".join(f"tail_{i} double" for i in range(1, k + 1))
-    return src.mapInArrow(run, f"{fields}, expected_grade double, {tail_fields}, selected boolean")
+    made = [T.StructField(c, T.BooleanType() if c == "selected" else T.DoubleType()) for c in names]
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[: len(kept)], *made]))

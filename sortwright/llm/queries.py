@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, html_text, langid, ngram_join, packing, quality, token_counts
+from . import bpe, embeddings, fingerprints, html_text, langid, ngram_join, packing, quality, quotes, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model).withColumn("kept", F.col("selected"))
 
 
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_embeddings": op3_embeddings,
     "op4_quality": op4_quality,
+    "op5_quotes": op5_quotes,
     "op6_token_counts": op6_token_counts,
     "op7_html": op7_html,
     "op8_langid": op8_langid,
