@@ -9,12 +9,15 @@ the allocation takes the cheapest segments, costs being estimated on a bounded
 sample. It steers cost only: any allocation with that sum loses no pair.
 
 Set ids that meet under a signature are candidates. They are verified in two rounds,
-so that a large group of near copies never becomes all its pairs. First every member
-of a signature's group is compared with the smallest one, exactly, and components are
-formed. Then only groups that still hold several components are looked at again:
-their members are compared across components, in cells of bounded size, by sizes and
-token histograms, whose distance can't exceed the number of differing tokens; what
-passes is verified exactly. Equal sets are one class from the start.
+so that a large group of near copies never becomes all its pairs. Every member of a
+signature's group is paired with the smallest one; sizes and parity sketches, whose
+distance can't exceed the number of differing tokens, drop most wrong pairs; one pair
+a member is verified exactly, and components are formed. Then only pairs and groups
+that still hold several components are looked at again: their members are compared
+across components, in cells of bounded size, by sizes and sketches, and what passes is
+verified exactly, at first one partner a member and round, so that families of near
+copies grow together before all pairs of what is still apart are compared. Equal sets
+are one class from the start.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import arrow_schema, slices
-from .embeddings import _cells, _groups
+from .embeddings import _groups
 from .fingerprints import MEMO_ENTRIES, _STEP, mix
 from .graph import connected_components
 from .staging import stage
@@ -43,9 +46,13 @@ COST_SAMPLE = 2000
 #: Postings that a task holds before it deals them out.
 FLUSH = 1 << 20
 BLOCK = 1024
+CODE_RATIO = 1.056
+#: Rounds in which a member is compared with one partner, before all that is open is compared.
+TURNS = 3
+#: Group rows of one family that a task compares, on average.
+FAMILY = 1 << 16
 #: Class ids up to which the ids of candidates are broadcast to the second reading of the texts.
 BROADCAST_IDS = 1 << 20
-HISTOGRAM = 64
 
 
 class _Words(dict):
@@ -182,19 +189,42 @@ def segment_costs(sample: list[np.ndarray], percent: int, scale: float) -> dict[
     return out
 
 
-def _digest(tokens: np.ndarray, seed: int) -> tuple[bytes, int]:
-    d = xxhash.xxh3_128_digest(tokens.tobytes(), seed=seed)
-    return d, int.from_bytes(d[:8], "little", signed=True)
+def size_code(n: int) -> int:
+    """A size in one byte, on a scale of logarithms."""
+    return min(255, int(math.log(max(1, n)) / math.log(CODE_RATIO)))
 
 
-def _histogram(tokens: np.ndarray) -> bytes:
-    """Tokens by hash in HISTOGRAM cells, as 16-bit counts (large counts stop at the top, which keeps distances low)."""
-    return np.minimum(np.bincount((tokens & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 65535).astype("<u2").tobytes()
+def code_span(percent: int) -> int:
+    """By how much the codes of sizes may differ whose sets can reach the threshold."""
+    return math.ceil(math.log(100 / percent) / math.log(CODE_RATIO) + 1e-6)
 
 
-def _index(docs: DataFrame, plan: Plan, deals: int, seed: int, width: int) -> DataFrame:
+def _digest(tokens: np.ndarray) -> tuple[bytes, int]:
+    """A set's 128-bit digest, and the id it has in postings: 56 bits of it and its size code."""
+    d = xxhash.xxh3_128_digest(tokens.tobytes())
+    return d, int.from_bytes(bytes([size_code(len(tokens))]) + d[:7], "little", signed=True)
+
+
+def _odd(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens by hash cell, one cell for two tokens or more, a power of two in all.
+
+    The cells in which two sets' parities differ are at most the tokens in which the
+    sets differ. Halves laid over each other are the parities for half the cells.
+    """
+    cells = 1 << max(6, (len(tokens) - 1).bit_length() - 1)
+    at = ((tokens >> np.uint64(7)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(odd: np.ndarray, size: int) -> np.ndarray:
+    while len(odd) > size:
+        odd = odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]
+    return odd
+
+
+def _index(docs: DataFrame, plan: Plan, deals: int, width: int) -> DataFrame:
     """Rows of documents (doc, n, digest, class id) and of packed postings (deal, postings)."""
-    kind = [("deal", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cid", pa.int64()), ("hist", pa.binary()), ("postings", pa.binary())]
+    kind = [("deal", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cid", pa.int64()), ("odd", pa.binary()), ("postings", pa.binary())]
     schema = arrow_schema(kind)
 
     def run(batches):
@@ -215,12 +245,12 @@ def _index(docs: DataFrame, plan: Plan, deals: int, seed: int, width: int) -> Da
             out = []
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 tokens = shingle_set(text, width)
-                digest, cid = _digest(tokens, seed)
-                out.append((hash(doc) % deals, doc, len(tokens), digest, cid, _histogram(tokens), None))
-                if cid in done or not len(tokens):
+                digest, cid = _digest(tokens)
+                out.append((hash(doc) % deals, doc, len(tokens), digest, cid, _odd(tokens), None))
+                if digest in done or not len(tokens):
                     continue
                 if len(done) < 1 << 20:
-                    done.add(cid)
+                    done.add(digest)
                 sig = plan.signatures(tokens)
                 if len(sig):
                     held.append(np.stack([sig, np.full(len(sig), cid, np.int64).view(np.uint64)], axis=1))
@@ -232,14 +262,17 @@ def _index(docs: DataFrame, plan: Plan, deals: int, seed: int, width: int) -> Da
         if held:
             yield flush()
 
-    src = docs.mapInArrow(run, "deal int, doc long, n long, digest binary, cid long, hist binary, postings binary")
+    src = docs.mapInArrow(run, "deal int, doc long, n long, digest binary, cid long, odd binary, postings binary")
     return src.repartition(deals, "deal")
 
 
-def _meet(indexed: DataFrame) -> DataFrame:
-    """Pass documents on; turn a deal's postings into stars (a, b) and groups of three and more ids."""
-    schema = arrow_schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cid", pa.int64()), ("hist", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
-    names = ["doc", "n", "digest", "cid", "hist"]
+def _meet(indexed: DataFrame, percent: int) -> DataFrame:
+    """Pass documents on; turn a deal's postings into stars (a, b) and groups of three and more ids.
+
+    Of the ids under a signature each is paired with the one of the smallest size that it can link with.
+    """
+    schema = arrow_schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cid", pa.int64()), ("odd", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
+    names = ["doc", "n", "digest", "cid", "odd"]
 
     def run(batches):
         blobs: list[bytes] = []
@@ -261,15 +294,17 @@ def _meet(indexed: DataFrame) -> DataFrame:
         count = np.diff(np.append(start, len(sig)))
         many = np.repeat(count > 1, count)
         sig, cid = sig[many], rec[order, 1][many].view(np.int64)
-        order = np.lexsort((cid, sig))
+        order = np.lexsort((cid, cid & 255, sig))
         sig, cid = sig[order], cid[order]
         keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])]) if len(sig) else np.zeros(0, bool)
         sig, cid = sig[keep], cid[keep]
         if not len(sig):
             return
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        new = np.concatenate([[True], sig[1:] != sig[:-1]])
+        start = np.flatnonzero(new)
         count = np.diff(np.append(start, len(sig)))
-        hub = np.repeat(cid[start], count)
+        place = np.cumsum(new) * 1024 + (cid & 255)
+        hub = cid[np.searchsorted(place, place - code_span(percent))]
         pair = np.unique(np.stack([cid, hub], axis=1)[cid != hub], axis=0)
         for i in range(0, len(pair), 1 << 16):
             p = pair[i : i + (1 << 16)]
@@ -282,100 +317,150 @@ def _meet(indexed: DataFrame) -> DataFrame:
             none = [pa.nulls(len(g), schema.field(j).type) for j in range(7)]
             yield pa.RecordBatch.from_arrays([*none, pa.array(g, pa.binary())], schema=schema)
 
-    return indexed.mapInArrow(run, "doc long, n long, digest binary, cid long, hist binary, a long, b long, members binary")
+    return indexed.mapInArrow(run, "doc long, n long, digest binary, cid long, odd binary, a long, b long, members binary")
 
 
-def _may_link(na, nb, ha, hb, percent: int) -> np.ndarray:
-    """Whether sizes and histograms leave it open that sets reach the threshold."""
-    small, large = np.minimum(na, nb), np.maximum(na, nb)
-    apart = np.abs(ha.astype(np.int32) - hb.astype(np.int32)).sum(axis=-1)
-    return (100 * small >= percent * large) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+def _open_pair(na: int, nb: int, oa: bytes, ob: bytes, percent: int) -> bool:
+    """Whether sizes and parities leave it open that two sets reach the threshold."""
+    if 100 * min(na, nb) < percent * max(na, nb):
+        return False
+    x, y = (np.frombuffer(o, np.uint8) for o in (oa, ob))
+    size = min(len(x), len(y))
+    apart = int(np.bitwise_count((_folded(x, size) ^ _folded(y, size)).view(np.uint64)).sum())
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
 
 
 def _near_pairs(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and histograms leave open."""
-    one = pairs.join(info.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha")), "a")
-    both = one.join(info.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb")), "b")
+    """Of pairs of class ids, as pairs of documents (a > b), those that sizes and parities leave open."""
+    one = pairs.join(info.select(F.col("cid").alias("a"), F.col("doc").alias("da"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
+    both = one.join(info.select(F.col("cid").alias("b"), F.col("doc").alias("db"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
 
     def run(batches):
-        schema = arrow_schema([("a", pa.int64()), ("b", pa.int64())])
-        for rows in batches:
-            if rows.num_rows:
-                na, nb = (np.asarray(rows.column(i)) for i in (2, 4))
-                ha, hb = (np.frombuffer(b"".join(rows.column(i).to_pylist()), "<u2").reshape(-1, HISTOGRAM) for i in (3, 5))
-                yield pa.RecordBatch.from_arrays([rows.column(i).filter(pa.array(_may_link(na, nb, ha, hb, percent))) for i in (0, 1)], schema=schema)
+        for rows in slices(batches):
+            good = [_open_pair(*x, percent) for x in zip(*(rows.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "na", "ha", "nb", "hb").mapInArrow(run, "a long, b long")
+    return both.where("da != db").select(F.greatest("da", "db").alias("a"), F.least("da", "db").alias("b"), "na", "nb", "oa", "ob").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, info: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The token sets of the classes in ``pairs``, read again from one text of each."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    ids = stage(info.join(wanted, "cid").select("doc", "cid"), "wanted")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc")
+def _read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Token sets of documents, read again. ``wanted``: doc and other ids, kept beside tokens."""
+    wanted = stage(wanted, "wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    names = wanted.columns
 
     def run(batches):
-        schema = arrow_schema([("cid", pa.int64()), ("tokens", pa.binary())])
         for rows in slices(batches):
-            sets = [shingle_set(t, width).tobytes() for t in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], schema=schema)
+            sets = [shingle_set(t, width).tobytes() for t in rows.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(sets, pa.binary())], names=[*names, "tokens"])
 
-    return texts.select("cid", "text").mapInArrow(run, "cid long, tokens binary")
+    fields = ", ".join(f"{n} long" for n in names)
+    return docs.join(ids, "doc").select(*names, "text").mapInArrow(run, f"{fields}, tokens binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
+def _compared(both: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b, ta, tb) the pairs whose sets reach the threshold."""
 
     def run(batches):
-        schema = arrow_schema([("a", pa.int64()), ("b", pa.int64())])
         for rows in slices(batches):
             good = []
             for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                merged = np.concatenate([s, t])
+                merged = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 merged.sort()
                 common = int(np.count_nonzero(merged[1:] == merged[:-1]))
                 good.append(100 * common >= percent * (len(merged) - common))
-            yield pa.RecordBatch.from_arrays([rows.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(groups: DataFrame, info: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of different components that met under a signature and that sizes and histograms leave open."""
+def _verified_star(docs: DataFrame, star: DataFrame, percent: int, width: int) -> DataFrame:
+    """Verify pairs that hold each ``a`` once: every set crosses the network once."""
+    leaves = _read_sets(docs, star.withColumnRenamed("a", "doc"), width).withColumnsRenamed({"doc": "a", "tokens": "ta"})
+    hubs = _read_sets(docs, star.select(F.col("b").alias("doc")).distinct(), width).withColumnsRenamed({"doc": "b", "tokens": "tb"})
+    return _compared(leaves.join(hubs, "b"), percent)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Verify any pairs; sets are written once and joined to both sides."""
+    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    sets = stage(_read_sets(docs, wanted, width), "sets")
+    return _compared(pairs.join(sets.withColumnsRenamed({"doc": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"doc": "b", "tokens": "tb"}), "b"), percent)
+
+
+def _members(groups: DataFrame, info: DataFrame) -> DataFrame:
+    """Groups of class ids as rows (key, rep): the group and a class's document."""
+
     def spread(batches):
-        schema = arrow_schema([("key", pa.int64()), ("cid", pa.int64())])
         for rows in batches:
             for g in rows.column(0).to_pylist():
                 ids = np.frombuffer(g, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), xxhash.xxh3_64_intdigest(g), np.uint64).view(np.int64)), pa.array(ids)], schema=schema)
+                key = np.full(len(ids), xxhash.xxh3_64_intdigest(g), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], names=["key", "cid"])
 
     members = groups.mapInArrow(spread, "key long, cid long")
-    labelled = members.join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    labelled = stage(labelled, "members")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rows = labelled.join(mixed, "key").join(info.select("cid", "n", "hist"), "cid").withColumnRenamed("cid", "rep")
+    return members.join(info.select("cid", "doc"), "cid").select("key", F.col("doc").alias("rep")).distinct()
+
+
+def _across(members: DataFrame, info: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) of different components in one group that sizes and parities leave open.
+
+    Groups with the same smallest member mostly are one family's; they go to one task,
+    or by their number of rows to several, where a pair is returned once.
+    """
+    labelled = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("rep").alias("hub"), F.count(F.lit(1)).alias("rows")).where("x < y").drop("x", "y")
+    sizes = stage(sizes, "groups")
+    lanes = sizes.groupBy("hub").agg(F.ceil(F.sum("rows") / FAMILY).cast("int").alias("lanes"))
+    lane = F.pmod(F.xxhash64("key"), F.col("lanes")).cast("long")
+    cut = F.ceil(F.col("rows") / block).cast("int")
+    mixed = sizes.join(lanes, "hub").select("key", F.xxhash64("hub", lane).alias("lane"), cut.alias("parts"))
+    rows = labelled.join(mixed, "key").join(info.select(F.col("doc").alias("rep"), "n", "odd"), "rep")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("lane", "key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "rep", "component", "n", "odd", "salt")
+    rows = rows.repartition("lane", "i", "j").sortWithinPartitions("lane", "key", "i", "j")
 
     def compare(batches):
-        schema = arrow_schema([("a", pa.int64()), ("b", pa.int64())])
-        for (_, i, j), part in _groups(batches, 3):
-            reps, comp, n, salt = (np.asarray(part.column(c)) for c in (3, 4, 5, 7))
-            hist = np.frombuffer(b"".join(part.column(6).to_pylist()), "<u2").reshape(-1, HISTOGRAM)
-            for x in range(0, len(reps), 64):
-                w = slice(x, x + 64)
-                near = _may_link(n[w, None], n[None, :], hist[w, None, :], hist[None, :, :], percent)
-                near &= (comp[w, None] != comp[None, :]) & (reps[w, None] > reps[None, :])
+        held: list[np.ndarray] = []
+        now = None
+
+        def flush():
+            pair = np.unique(np.concatenate(held), axis=0)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], names=["a", "b"])
+
+        for (lane, _, i, j), part in _groups(batches, 4):
+            if held and (lane != now or sum(map(len, held)) > FLUSH):
+                yield flush()
+            now = lane
+            reps, comp, n, salt = (np.asarray(part.column(c)) for c in (4, 5, 6, 8))
+            odd = [np.frombuffer(o, np.uint8) for o in part.column(7).to_pylist()]
+            size = min(map(len, odd))
+            odd = np.stack([_folded(o, size) for o in odd]).view(np.uint64)
+            step = max(1, (1 << 20) // odd.size)
+            for x in range(0, len(reps), step):
+                w = slice(x, x + step)
+                near = (comp[w, None] != comp[None, :]) & (reps[w, None] > reps[None, :])
+                near &= 100 * np.minimum(n[w, None], n[None, :]) >= percent * np.maximum(n[w, None], n[None, :])
                 if i != j:
                     near &= salt[w, None] != salt[None, :]
                 p, q = np.nonzero(near)
                 if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(reps[w][p]), pa.array(reps[q])], schema=schema)
+                    apart = np.bitwise_count(odd[w][p] ^ odd[q]).sum(axis=-1, dtype=np.int64)
+                    keep = (100 + percent) * apart <= (100 - percent) * (n[w][p] + n[q])
+                    if keep.any():
+                        held.append(np.stack([reps[w][p[keep]], reps[q[keep]]], axis=1))
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(compare, "a long, b long")
 
-    cells = _cells(rows, block).select("key", "i", "j", "rep", "component", "n", "hist", "salt")
-    return cells.mapInArrow(compare, "a long, b long").distinct()
+
+def _other_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    one = pairs.join(parts.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
+    both = one.join(parts.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
+    return both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
 def components(
@@ -386,8 +471,8 @@ def components(
     Returns ``id_col`` (long), n_shingles and component_id (the smallest id reachable by
     links, itself included), one row per input row. A null or empty text, or one
     without words, has an empty set and links with nothing; a text of fewer words than
-    a shingle is one shingle. Equal sets link. Rows with equal ids are rows of their
-    own; a row with a null id links with nothing and its component is null. Other
+    a shingle is one shingle. Equal sets link. Rows that repeat an id are one document
+    whose links add up; a row with a null id links with nothing and its component is null. Other
     columns are ignored; an empty table gives an empty table.
     """
     spark = df.sparkSession
@@ -406,28 +491,30 @@ def components(
 
     drawn = [np.frombuffer(b, np.uint64) for b in few.mapInArrow(sample, "tokens binary").toArrow()["tokens"].to_pylist()]
     costs = segment_costs(drawn, percent, rows / max(1, len(drawn)))
-    for seed in range(8):
-        met = stage(_meet(_index(docs.where("doc is not null"), Plan(percent, costs), deals, seed, width)), "met")
-        seen = met.where("cid is not null").select("doc", "n", "digest", "cid", "hist")
-        info = stage(seen.where("n > 0").groupBy("cid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.min("digest").alias("low"), F.max("digest").alias("high")), "classes")
-        if info.where("low != high").isEmpty():
-            break
-    else:
-        raise RuntimeError("different sets share a class id under every seed")
-    pairs = stage(_near_pairs(met.where("a is not null").select("a", "b").distinct(), info, percent), "pairs")
-    sets = stage(_sets(docs, info, pairs, width), "sets")
-    links = stage(_verified(pairs, sets, percent), "links")
+    met = stage(_meet(_index(docs.where("doc is not null"), Plan(percent, costs), deals, width), percent), "met")
+    seen = met.where("cid is not null").select("doc", "n", "digest", "cid", "odd")
+    # A class is known by its digest and stands for its documents by the smallest. Different sets under one
+    # 64-bit id are different classes, so a clash of ids costs comparisons only.
+    info = stage(seen.where("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.first("cid").alias("cid"), F.first("n").alias("n"), F.first("odd").alias("odd")), "classes")
+    clash = info.groupBy("cid").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x != y").select(F.col("y").alias("a"), F.col("x").alias("b"))
+    near = stage(_near_pairs(met.where("a is not null").select("a", "b").distinct(), info, percent).unionByName(clash), "pairs")
+    links = stage(_verified_star(docs, near.groupBy("a").agg(F.min("b").alias("b")), percent, width), "links")
     parts = connected_components(links)
-    groups = met.where("members is not null").select("members").distinct()
-    more = stage(_across(groups, info, parts, percent, block), "pairs")
-    if not more.isEmpty():
-        late = stage(_verified(more, stage(_sets(docs, info, more, width), "sets"), percent), "links")
-        parts = connected_components(links.unionByName(late))
-    # Class ids say nothing about document ids: a component's smallest document is found here.
-    labelled = info.join(parts, info["cid"] == parts["node"], "left").select("cid", "doc", F.coalesce("component", "cid").alias("part"))
-    lowest = labelled.groupBy("part").agg(F.min("doc").alias("lowest"))
-    by_class = labelled.join(lowest, "part").select("cid", "lowest")
-    placed = seen.join(by_class, "cid", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc").alias("component_id"))
+    members = stage(_members(met.where("members is not null").select("members").distinct(), info), "members")
+    pairs = stage(_other_parts(near, parts).unionByName(_across(members, info, parts, percent, block)).distinct(), "pairs")
+    for turn in range(TURNS):
+        order = F.xxhash64("b", F.lit(turn))
+        star = stage(_other_parts(pairs, parts).groupBy("a").agg(F.max(F.struct(order.alias("o"), "b"))["b"].alias("b")), "star")
+        if star.isEmpty():
+            break
+        links = links.unionByName(stage(_verified_star(docs, star, percent, width), "links"))
+        parts = connected_components(links)
+    rest = stage(_other_parts(pairs, parts), "pairs")
+    if not rest.isEmpty():
+        links = links.unionByName(stage(_verified(docs, rest, percent, width), "links"))
+        parts = connected_components(links)
+    by_class = info.join(parts, info["doc"] == parts["node"], "left").select("digest", F.coalesce("component", "doc").alias("lowest"))
+    placed = seen.join(by_class, "digest", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc").alias("component_id"))
     unnamed = docs.where("doc is null")
 
     def sizes(batches):
