@@ -1,3 +1,162 @@
-"""Named queries over the driver tables."""
-QUERIES = {}
-ORACLES = {}
+"""Named queries over the driver tables, and the SQL that each must equal.
+
+A driver compares rows without their order, so the order is a column: pos.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.records import RECORD_PATTERN, encoded_size, parse, render
+from ..model import InvalidMode
+from ..operators.metrics import summary
+from ..operators.modes import apply_mode
+from ..operators.sorting import head, merge_sorted, tail, with_position
+from ..sources.lines import clean_line
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _records(df: DataFrame, number: Column, text: Column) -> DataFrame:
+    return df.select(number.cast("decimal(20,0)").alias("number"), text.alias("text"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, key = _table(spark, sf_dir, "events"), F.col("event_id")
+    good = F.concat(key.cast("string"), F.lit(". "), F.col("event_type"))
+    line = F.when(key % 7 == 0, F.concat(F.lit("-"), good)).when(key % 11 == 0, F.concat(key.cast("string"), F.lit(" "), F.col("event_type"))).otherwise(good)
+    return e.select(line.alias("line"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    return _records(p, F.col("p_partkey"), F.col("p_name"))
+
+
+def sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(". "), F.col("p_name")).alias("line"))
+    return with_position(apply_mode(parse(p), InvalidMode.STRICT)[0])
+
+
+def parse_mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_mode(parse(_mixed(spark, sf_dir)), InvalidMode.SKIP)[0]
+
+
+def line_validity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse(_mixed(spark, sf_dir)).groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_mode(parse(_mixed(spark, sf_dir)), InvalidMode.LOG)[1].select("line")
+
+
+def utf8_byte_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return with_position(_records(d, F.col("doc_id"), F.col("text"))).select(F.col("number"), "pos")
+
+
+def encoded_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").groupBy(encoded_size(F.col("text")).alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    line = F.concat(F.lit("  00"), F.col("p_partkey").cast("string"), F.lit(" .   "), F.col("p_name"), F.lit(" "))
+    good = parse(p.select(line.alias("line")))
+    return good.where("ok").select(render(F.col("number"), F.col("text")).alias("line"))
+
+
+def first_dot_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit("."), F.col("c_nationkey").cast("string"), F.lit(". "), F.col("c_name"))
+    return parse(c.select(line.alias("line"))).where("ok").select("number", "text")
+
+
+def uint64_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    number = F.lit("9223372036854775807").cast("decimal(20,0)") + F.col("o_orderkey").cast("decimal(20,0)")
+    return with_position(_records(o, number, F.col("o_orderpriority")))
+
+
+def number_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem")
+    return with_position(_records(li, F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_returnflag")))
+
+
+def head_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return head(_parts(spark, sf_dir))
+
+
+def tail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tail(_parts(spark, sf_dir))
+
+
+def merge_sorted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    shards = [_records(o.where(F.col("o_orderkey") % 4 == i), F.col("o_orderkey"), F.col("o_orderpriority")) for i in range(4)]
+    return with_position(merge_sorted(shards))
+
+
+def duplicates_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _records(_table(spark, sf_dir, "events"), F.col("event_id") % 50, F.col("event_type"))
+    return merge_sorted([e]).groupBy("text", "number").agg(F.count(F.lit(1)).alias("n"))
+
+
+def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(parse(_mixed(spark, sf_dir)))
+
+
+def crlf_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    line = F.concat(F.col("event_id").cast("string"), F.lit(". "), F.col("event_type"), F.lit("\r"))
+    return e.select(clean_line(line).alias("line"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        sort_rank, parse_mixed_lines, line_validity_counts, rejected_lines, utf8_byte_order, encoded_size_histogram, format_round_trip, first_dot_rule,
+        uint64_boundary, number_tiebreak, head_records, tail_records, merge_sorted_parts, duplicates_preserved, metrics_summary, crlf_normalised,
+    )
+}
+
+_MIXED = """SELECT CASE WHEN event_id % 7 = 0 THEN '-' || event_id || '. ' || event_type
+ WHEN event_id % 11 = 0 THEN event_id || ' ' || event_type ELSE event_id || '. ' || event_type END AS line FROM events"""
+_NUMBER = f"TRY_CAST(NULLIF(regexp_extract(line, '{RECORD_PATTERN}', 1), '') AS DECIMAL(20,0))"
+_PARSED = f"""SELECT line, CASE WHEN number <= 18446744073709551615 THEN number END AS number, text FROM
+ (SELECT line, {_NUMBER} AS number, regexp_extract(line, '{RECORD_PATTERN}', 2) AS text FROM lines)"""
+
+
+def _ranked(number: str, text: str, source: str) -> str:
+    return f"""SELECT CAST({number} AS DECIMAL(20,0)) AS number, {text} AS text,
+ row_number() OVER (ORDER BY {text}, {number}) AS pos FROM {source}"""
+
+
+ORACLES: dict[str, str] = {
+    "sort_rank": _ranked("p_partkey", "p_name", "part"),
+    "parse_mixed_lines": f"WITH lines AS ({_MIXED}) SELECT number, text FROM ({_PARSED}) WHERE number IS NOT NULL",
+    "line_validity_counts": f"WITH lines AS ({_MIXED}) SELECT number IS NOT NULL AS ok, count(*) AS n FROM ({_PARSED}) GROUP BY 1",
+    "rejected_lines": f"WITH lines AS ({_MIXED}) SELECT line FROM ({_PARSED}) WHERE number IS NULL",
+    "utf8_byte_order": "SELECT CAST(doc_id AS DECIMAL(20,0)) AS number, row_number() OVER (ORDER BY text, doc_id) AS pos FROM documents",
+    "encoded_size_histogram": "SELECT CAST(10 + octet_length(encode(text)) AS BIGINT) AS bytes, count(*) AS n FROM documents GROUP BY 1",
+    "format_round_trip": "SELECT p_partkey || '. ' || p_name || ' ' AS line FROM part",
+    "first_dot_rule": "SELECT CAST(c_custkey AS DECIMAL(20,0)) AS number, c_nationkey || '. ' || c_name AS text FROM customer",
+    "uint64_boundary": _ranked("(CAST(9223372036854775807 AS HUGEINT) + o_orderkey)", "o_orderpriority", "orders"),
+    "number_tiebreak": _ranked("(l_orderkey * 10 + l_linenumber)", "l_returnflag", "lineitem"),
+    "head_records": "SELECT CAST(p_partkey AS DECIMAL(20,0)) AS number, p_name AS text FROM part ORDER BY p_name, p_partkey LIMIT 5",
+    "tail_records": "SELECT CAST(p_partkey AS DECIMAL(20,0)) AS number, p_name AS text FROM part ORDER BY p_name DESC, p_partkey DESC LIMIT 5",
+    "merge_sorted_parts": _ranked("o_orderkey", "o_orderpriority", "orders"),
+    "duplicates_preserved": "SELECT event_type AS text, CAST(event_id % 50 AS DECIMAL(20,0)) AS number, count(*) AS n FROM events GROUP BY 1, 2",
+    "metrics_summary": f"""WITH lines AS ({_MIXED}), parsed AS ({_PARSED}) SELECT
+ CAST(count(number) AS BIGINT) AS valid_lines, CAST(count(*) - count(number) AS BIGINT) AS invalid_lines,
+ CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS input_bytes,
+ CAST(sum(CASE WHEN number IS NOT NULL THEN octet_length(encode(number || '. ' || text)) + 1 END) AS BIGINT) AS output_bytes FROM parsed""",
+    "crlf_normalised": "SELECT event_id || '. ' || event_type AS line FROM events",
+}

@@ -1 +1 @@
-
+"""No streaming operators: a global order needs the whole input, and the engine has no stream sources."""
