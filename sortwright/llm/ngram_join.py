@@ -15,9 +15,8 @@ distance can't exceed the number of differing tokens, drop most wrong pairs; one
 a member is verified exactly, and components are formed. Then only pairs and groups
 that still hold several components are looked at again: their members are compared
 across components, in cells of bounded size, by sizes and sketches, and what passes is
-verified exactly, at first one partner a member and round, so that families of near
-copies grow together before all pairs of what is still apart are compared. Equal sets
-are one class from the start.
+verified exactly, each set being read once by its family's task. Equal sets are one
+class from the start.
 """
 
 from __future__ import annotations
@@ -47,8 +46,8 @@ COST_SAMPLE = 2000
 FLUSH = 1 << 20
 BLOCK = 1024
 CODE_RATIO = 1.056
-#: Rounds in which a member is compared with one partner, before all that is open is compared.
-TURNS = 3
+#: Tokens of a part of a family: a verifying task holds two parts.
+CELL_TOKENS = 1 << 21
 #: Group rows of one family that a task compares, on average.
 FAMILY = 1 << 16
 #: Class ids up to which the ids of candidates are broadcast to the second reading of the texts.
@@ -358,17 +357,21 @@ def _read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.join(ids, "doc").select(*names, "text").mapInArrow(run, f"{fields}, tokens binary")
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of distinct tokens reach the threshold."""
+    merged = np.concatenate([x, y])
+    merged.sort()
+    common = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return 100 * common >= percent * (len(merged) - common)
+
+
 def _compared(both: DataFrame, percent: int) -> DataFrame:
     """Of (a, b, ta, tb) the pairs whose sets reach the threshold."""
 
     def run(batches):
         for rows in slices(batches):
-            good = []
-            for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                merged = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                merged.sort()
-                common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                good.append(100 * common >= percent * (len(merged) - common))
+            sets = (map(lambda t: np.frombuffer(t, np.uint64), rows.column(i).to_pylist()) for i in (2, 3))
+            good = [_reaches(x, y, percent) for x, y in zip(*sets, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -381,11 +384,38 @@ def _verified_star(docs: DataFrame, star: DataFrame, percent: int, width: int) -
     return _compared(leaves.join(hubs, "b"), percent)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Verify any pairs; sets are written once and joined to both sides."""
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = stage(_read_sets(docs, wanted, width), "sets")
-    return _compared(pairs.join(sets.withColumnsRenamed({"doc": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"doc": "b", "tokens": "tb"}), "b"), percent)
+def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Verify any pairs, by family: what such pairs connect.
+
+    A family's sets go to one task, once; a large family is cut into cells of two parts
+    of about CELL_TOKENS tokens, and a set goes to the cells of its part.
+    """
+    size = info.groupBy(F.col("doc").alias("node")).agg(F.sum("n").alias("n"))
+    family = stage(connected_components(pairs).join(size, "node"), "families")
+    sizes = family.groupBy("component").agg(F.ceil(F.sum("n") / CELL_TOKENS).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("long").alias("salt")
+    placed = stage(family.join(sizes, "component").select(F.col("node").alias("doc"), F.col("component").alias("family"), salt, F.col("parts").cast("long").alias("parts")), "families")
+    sets = _read_sets(docs, placed, width).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    sets = sets.select("family", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), F.lit(None).cast("long").alias("a"), F.col("doc").alias("b"), "tokens")
+    ends = placed.select(F.col("doc").alias("a"), "family", F.col("salt").alias("sa")), placed.select(F.col("doc").alias("b"), F.col("salt").alias("sb"))
+    asked = pairs.join(ends[0], "a").join(ends[1], "b").select("family", F.least("sa", "sb").alias("i"), F.greatest("sa", "sb").alias("j"), "a", "b", F.lit(None).cast("binary").alias("tokens"))
+    dealt = sets.unionByName(asked).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", F.col("a").asc_nulls_first())
+
+    def run(batches):
+        here, have = None, {}
+        for rows in slices(batches):
+            out = []
+            for *cell, a, b, tokens in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if cell != here:
+                    here, have = cell, {}
+                if a is None:
+                    have.setdefault(b, []).append(np.frombuffer(tokens, np.uint64))
+                elif any(_reaches(s, t, percent) for s in have[a] for t in have[b]):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _members(groups: DataFrame, info: DataFrame) -> DataFrame:
@@ -502,16 +532,8 @@ def components(
     parts = connected_components(links)
     members = stage(_members(met.where("members is not null").select("members").distinct(), info), "members")
     pairs = stage(_other_parts(near, parts).unionByName(_across(members, info, parts, percent, block)).distinct(), "pairs")
-    for turn in range(TURNS):
-        order = F.xxhash64("b", F.lit(turn))
-        star = stage(_other_parts(pairs, parts).groupBy("a").agg(F.max(F.struct(order.alias("o"), "b"))["b"].alias("b")), "star")
-        if star.isEmpty():
-            break
-        links = links.unionByName(stage(_verified_star(docs, star, percent, width), "links"))
-        parts = connected_components(links)
-    rest = stage(_other_parts(pairs, parts), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(stage(_verified(docs, rest, percent, width), "links"))
+    if not pairs.isEmpty():
+        links = links.unionByName(stage(_verified(docs, info, pairs, percent, width), "links"))
         parts = connected_components(links)
     by_class = info.join(parts, info["doc"] == parts["node"], "left").select("digest", F.coalesce("component", "doc").alias("lowest"))
     placed = seen.join(by_class, "digest", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc").alias("component_id"))
