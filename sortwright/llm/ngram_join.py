@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import arrow_schema, slices
-from .embeddings import _groups
+from .embeddings import _groups, _roots
 from .fingerprints import MEMO_ENTRIES, _STEP, mix
 from .graph import connected_components
 from .staging import stage
@@ -47,7 +47,7 @@ FLUSH = 1 << 20
 BLOCK = 1024
 CODE_RATIO = 1.056
 #: Tokens of a part of a family: a verifying task holds two parts.
-CELL_TOKENS = 1 << 21
+CELL_TOKENS = 1 << 20
 #: Group rows of one family that a task compares, on average.
 FAMILY = 1 << 16
 #: Class ids up to which the ids of candidates are broadcast to the second reading of the texts.
@@ -384,36 +384,65 @@ def _verified_star(docs: DataFrame, star: DataFrame, percent: int, width: int) -
     return _compared(leaves.join(hubs, "b"), percent)
 
 
-def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Verify any pairs, by family: what such pairs connect.
+class _Cell:
+    """The sets of a family that one task compares: of two parts, those of different parts."""
+
+    def __init__(self, percent: int):
+        self.percent, self.rows = percent, []
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that join what is still apart; none is missing that joins more."""
+        doc, comp, side, tokens = zip(*self.rows, strict=True)
+        sets = [np.frombuffer(t, np.uint64) for t in tokens]
+        n, side = np.array([len(x) for x in sets]), np.array(side)
+        odd = [np.frombuffer(_odd(x), np.uint8) for x in sets]
+        cells = np.array([len(o) for o in odd])
+        _, root = np.unique(np.array(comp), return_inverse=True)
+        order = np.lexsort((np.array(doc), n))
+        out, one_part = [], len(np.unique(side)) == 1
+        by_cells = {int(c): np.stack([_folded(o, c) if len(o) >= c else np.resize(o, c) for o in odd]).view(np.uint64) for c in np.unique(cells)}
+        for k, x in enumerate(order.tolist()):
+            rest = order[:k]
+            rest = rest[(root[rest] != root[x]) & (100 * n[rest] >= self.percent * n[x])]
+            if not one_part:
+                rest = rest[side[rest] != side[x]]
+            for size in np.unique(cells[rest]).tolist():
+                some = rest[cells[rest] == size]
+                table = by_cells[min(size, int(cells[x]))]
+                apart = np.bitwise_count(table[some] ^ table[x]).sum(axis=1, dtype=np.int64)
+                for y in some[(100 + self.percent) * apart <= (100 - self.percent) * (n[some] + n[x])].tolist():
+                    if root[x] != root[y] and _reaches(sets[x], sets[y], self.percent):
+                        root[root == root[y]] = root[x]
+                        out.append((doc[x], doc[y]))
+        return out
+
+
+def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, parts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links within families, a family being what open pairs connect.
 
     A family's sets go to one task, once; a large family is cut into cells of two parts
-    of about CELL_TOKENS tokens, and a set goes to the cells of its part.
+    of about CELL_TOKENS tokens, and a set goes to the cells of its part. A task compares
+    what is in different components, joins them as it finds links, and returns the links
+    that joined: no list of pairs is ever made.
     """
     size = info.groupBy(F.col("doc").alias("node")).agg(F.sum("n").alias("n"))
-    family = stage(connected_components(pairs).join(size, "node"), "families")
-    sizes = family.groupBy("component").agg(F.ceil(F.sum("n") / CELL_TOKENS).cast("int").alias("parts"))
+    family = stage(connected_components(edges).withColumnRenamed("component", "family").join(size, "node"), "families")
+    cut = family.groupBy("family").agg(F.ceil(F.sum("n") / CELL_TOKENS).cast("int").alias("parts"))
+    known = parts.withColumnRenamed("component", "known")
     salt = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("long").alias("salt")
-    placed = stage(family.join(sizes, "component").select(F.col("node").alias("doc"), F.col("component").alias("family"), salt, F.col("parts").cast("long").alias("parts")), "families")
+    placed = family.join(cut, "family").join(known, "node", "left").select(F.col("node").alias("doc"), "family", F.coalesce("known", "node").alias("known"), salt, F.col("parts").cast("long").alias("parts"))
     sets = _read_sets(docs, placed, width).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    sets = sets.select("family", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), F.lit(None).cast("long").alias("a"), F.col("doc").alias("b"), "tokens")
-    ends = placed.select(F.col("doc").alias("a"), "family", F.col("salt").alias("sa")), placed.select(F.col("doc").alias("b"), F.col("salt").alias("sb"))
-    asked = pairs.join(ends[0], "a").join(ends[1], "b").select("family", F.least("sa", "sb").alias("i"), F.greatest("sa", "sb").alias("j"), "a", "b", F.lit(None).cast("binary").alias("tokens"))
-    dealt = sets.unionByName(asked).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", F.col("a").asc_nulls_first())
+    # With two parts and more, the cell of a part with itself is needed once, and each two parts' cell once.
+    sets = sets.select("family", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "doc", "known", "salt", "tokens")
+    dealt = sets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches):
-        here, have = None, {}
-        for rows in slices(batches):
-            out = []
-            for *cell, a, b, tokens in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                if cell != here:
-                    here, have = cell, {}
-                if a is None:
-                    have.setdefault(b, []).append(np.frombuffer(tokens, np.uint64))
-                elif any(_reaches(s, t, percent) for s in have[a] for t in have[b]):
-                    out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        for _, part in _groups(batches, 3):
+            cell = _Cell(percent)
+            cell.rows = list(zip(*(part.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True))
+            found = cell.links()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -433,10 +462,12 @@ def _members(groups: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, info: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different components in one group that sizes and parities leave open.
+    """What sizes and parities leave open between different components of a group, as stars (a, b).
 
-    Groups with the same smallest member mostly are one family's; they go to one task,
-    or by their number of rows to several, where a pair is returned once.
+    Of a group's graph of open pairs each connected part is returned as a star, so its
+    size is that of the group. Groups with the same smallest member mostly are one
+    family's; they go to one task, or by their number of rows to several, where an edge
+    is returned once.
     """
     labelled = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("rep").alias("hub"), F.count(F.lit(1)).alias("rows")).where("x < y").drop("x", "y")
@@ -467,6 +498,7 @@ def _across(members: DataFrame, info: DataFrame, parts: DataFrame, percent: int,
             odd = [np.frombuffer(o, np.uint8) for o in part.column(7).to_pylist()]
             size = min(map(len, odd))
             odd = np.stack([_folded(o, size) for o in odd]).view(np.uint64)
+            open_to = np.zeros((len(reps), len(reps)), bool)
             step = max(1, (1 << 20) // odd.size)
             for x in range(0, len(reps), step):
                 w = slice(x, x + step)
@@ -478,8 +510,11 @@ def _across(members: DataFrame, info: DataFrame, parts: DataFrame, percent: int,
                 if len(p):
                     apart = np.bitwise_count(odd[w][p] ^ odd[q]).sum(axis=-1, dtype=np.int64)
                     keep = (100 + percent) * apart <= (100 - percent) * (n[w][p] + n[q])
-                    if keep.any():
-                        held.append(np.stack([reps[w][p[keep]], reps[q[keep]]], axis=1))
+                    open_to[p[keep] + x, q[keep]] = True
+            if open_to.any():
+                root = _roots(open_to | open_to.T)
+                leaf = np.flatnonzero(root != np.arange(len(root)))
+                held.append(np.stack([reps[leaf], reps[root[leaf]]], axis=1))
         if held:
             yield flush()
 
@@ -533,7 +568,7 @@ def components(
     members = stage(_members(met.where("members is not null").select("members").distinct(), info), "members")
     pairs = stage(_other_parts(near, parts).unionByName(_across(members, info, parts, percent, block)).distinct(), "pairs")
     if not pairs.isEmpty():
-        links = links.unionByName(stage(_verified(docs, info, pairs, percent, width), "links"))
+        links = links.unionByName(stage(_verified(docs, info, pairs, parts, percent, width), "links"))
         parts = connected_components(links)
     by_class = info.join(parts, info["doc"] == parts["node"], "left").select("digest", F.coalesce("component", "doc").alias("lowest"))
     placed = seen.join(by_class, "digest", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc").alias("component_id"))
