@@ -14,9 +14,10 @@ signature's group is paired with the smallest one; sizes and parity sketches, wh
 distance can't exceed the number of differing tokens, drop most wrong pairs; one pair
 a member is verified exactly, and components are formed. Then only pairs and groups
 that still hold several components are looked at again: their members are compared
-across components, in cells of bounded size, by sizes and sketches, and what passes is
-verified exactly, each set being read once by its family's task. Equal sets are one
-class from the start.
+across components, in cells of bounded size, by sizes and sketches. What passes connects
+families; these are parted again by sketches eight times as fine, an eighth of a set's
+size at most, and only the sets of what still hangs together are read and verified
+exactly. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -46,8 +47,13 @@ COST_SAMPLE = 2000
 FLUSH = 1 << 20
 BLOCK = 1024
 CODE_RATIO = 1.056
-#: Tokens of a part of a family: a verifying task holds two parts.
+#: Tokens and sets of a part of a family: a comparing task holds two parts.
 CELL_TOKENS = 1 << 20
+CELL_SETS = 1 << 11
+#: Cells of a fine sketch to one of a plain sketch.
+FINE = 8
+#: Pairs of sets that a task looks at together.
+PAIRS = 1 << 20
 #: Group rows of one family that a task compares, on average.
 FAMILY = 1 << 16
 #: Class ids up to which the ids of candidates are broadcast to the second reading of the texts.
@@ -204,13 +210,14 @@ def _digest(tokens: np.ndarray) -> tuple[bytes, int]:
     return d, int.from_bytes(bytes([size_code(len(tokens))]) + d[:7], "little", signed=True)
 
 
-def _odd(tokens: np.ndarray) -> bytes:
+def _odd(tokens: np.ndarray, fine: int = 1) -> bytes:
     """Parities of the tokens by hash cell, one cell for two tokens or more, a power of two in all.
 
     The cells in which two sets' parities differ are at most the tokens in which the
     sets differ. Halves laid over each other are the parities for half the cells.
+    ``fine``, a power of two, multiplies the cells.
     """
-    cells = 1 << max(6, (len(tokens) - 1).bit_length() - 1)
+    cells = fine << max(6, (len(tokens) - 1).bit_length() - 1)
     at = ((tokens >> np.uint64(7)) & np.uint64(cells - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -342,19 +349,24 @@ def _near_pairs(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return both.where("da != db").select(F.greatest("da", "db").alias("a"), F.least("da", "db").alias("b"), "na", "nb", "oa", "ob").mapInArrow(run, "a long, b long")
 
 
-def _read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Token sets of documents, read again. ``wanted``: doc and other ids, kept beside tokens."""
+def _read_sets(docs: DataFrame, wanted: DataFrame, width: int, fine: int = 0) -> DataFrame:
+    """Token sets of documents, read again, or their sketches of that fineness.
+
+    ``wanted``: doc and other ids, kept beside n, the set's size, and tokens.
+    """
     wanted = stage(wanted, "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     names = wanted.columns
 
     def run(batches):
         for rows in slices(batches):
-            sets = [shingle_set(t, width).tobytes() for t in rows.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(sets, pa.binary())], names=[*names, "tokens"])
+            sets = [shingle_set(t, width) for t in rows.column(len(names)).to_pylist()]
+            data = [_odd(x, fine) if fine else x.tobytes() for x in sets]
+            n = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], n, pa.array(data, pa.binary())], names=[*names, "n", "tokens"])
 
     fields = ", ".join(f"{n} long" for n in names)
-    return docs.join(ids, "doc").select(*names, "text").mapInArrow(run, f"{fields}, tokens binary")
+    return docs.join(ids, "doc").select(*names, "text").mapInArrow(run, f"{fields}, n long, tokens binary")
 
 
 def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -384,69 +396,116 @@ def _verified_star(docs: DataFrame, star: DataFrame, percent: int, width: int) -
     return _compared(leaves.join(hubs, "b"), percent)
 
 
-class _Cell:
-    """The sets of a family that one task compares: of two parts, those of different parts."""
-
-    def __init__(self, percent: int):
-        self.percent, self.rows = percent, []
+def _open_pairs(odd: list[np.ndarray], n: np.ndarray, group: np.ndarray, side: np.ndarray | None, percent: int):
+    """Blocks (p, q) of pairs of different groups, and sides if given, that sizes and fine sketches leave open.
 
-    def links(self) -> list[tuple[int, int]]:
-        """Links that join what is still apart; none is missing that joins more."""
-        doc, comp, side, tokens = zip(*self.rows, strict=True)
-        sets = [np.frombuffer(t, np.uint64) for t in tokens]
-        n, side = np.array([len(x) for x in sets]), np.array(side)
-        odd = [np.frombuffer(_odd(x), np.uint8) for x in sets]
-        cells = np.array([len(o) for o in odd])
-        _, root = np.unique(np.array(comp), return_inverse=True)
-        order = np.lexsort((np.array(doc), n))
-        out, one_part = [], len(np.unique(side)) == 1
-        by_cells = {int(c): np.stack([_folded(o, c) if len(o) >= c else np.resize(o, c) for o in odd]).view(np.uint64) for c in np.unique(cells)}
-        for k, x in enumerate(order.tolist()):
-            rest = order[:k]
-            rest = rest[(root[rest] != root[x]) & (100 * n[rest] >= self.percent * n[x])]
-            if not one_part:
-                rest = rest[side[rest] != side[x]]
-            for size in np.unique(cells[rest]).tolist():
-                some = rest[cells[rest] == size]
-                table = by_cells[min(size, int(cells[x]))]
-                apart = np.bitwise_count(table[some] ^ table[x]).sum(axis=1, dtype=np.int64)
-                for y in some[(100 + self.percent) * apart <= (100 - self.percent) * (n[some] + n[x])].tolist():
-                    if root[x] != root[y] and _reaches(sets[x], sets[y], self.percent):
-                        root[root == root[y]] = root[x]
-                        out.append((doc[x], doc[y]))
-        return out
+    ``group`` may change between two blocks; what is one group by then is left out.
+    """
+    length = np.array([len(o) for o in odd])
+    for size in np.unique(length).tolist():
+        # A set more than twice as large can't reach the threshold of another.
+        mine, rest = np.flatnonzero(length == size), np.flatnonzero((length == size) | (length == 2 * size))
+        x = np.stack([odd[i] for i in mine.tolist()])
+        y = np.stack([_folded(odd[i], size) for i in rest.tolist()])
+        levels = [(_rows_folded(x, s), _rows_folded(y, s)) for s in (max(8, size // FINE), size)]
+        step = max(1, PAIRS // len(rest))
+        for at in range(0, len(mine), step):
+            i = mine[at : at + step, None]
+            near = (group[i] != group[rest]) & ((length[rest] > size) | (rest > i))
+            near &= 100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])
+            if side is not None:
+                near &= side[i] != side[rest]
+            p, q = np.nonzero(near)
+            p += at
+            for u, v in levels:
+                most = (100 - percent) * (n[mine[p]] + n[rest[q]])
+                keep = np.zeros(len(p), bool)
+                some = max(1, (PAIRS << 4) // u.shape[1])
+                for k in range(0, len(p), some):
+                    w = slice(k, k + some)
+                    keep[w] = (100 + percent) * np.bitwise_count(u[p[w]] ^ v[q[w]]).sum(axis=1, dtype=np.int64) <= most[w]
+                p, q = p[keep], q[keep]
+            if len(p):
+                yield mine[p], rest[q]
+
+
+def _rows_folded(odd: np.ndarray, size: int) -> np.ndarray:
+    while odd.shape[1] > size:
+        half = odd.shape[1] // 2
+        odd = odd[:, :half] ^ odd[:, half:]
+    return np.ascontiguousarray(odd).view(np.uint64)
 
 
-def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, parts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links within families, a family being what open pairs connect.
-
-    A family's sets go to one task, once; a large family is cut into cells of two parts
-    of about CELL_TOKENS tokens, and a set goes to the cells of its part. A task compares
-    what is in different components, joins them as it finds links, and returns the links
-    that joined: no list of pairs is ever made.
+class _Cell:
+    """What one task compares of a family: of one part all members, of two parts those of different parts."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        self.percent = percent
+        self.doc, comp, side = (np.asarray(rows.column(i)) for i in (3, 4, 5))
+        self.n, self.data = np.asarray(rows.column(6)), rows.column(7).to_pylist()
+        self.group = np.unique(comp, return_inverse=True)[1]
+        self.side = side if len(np.unique(side)) > 1 else None
+
+    def _pairs(self, odd: list[bytes]):
+        return _open_pairs([np.frombuffer(o, np.uint8) for o in odd], self.n, self.group, self.side, self.percent)
+
+    def open_stars(self) -> np.ndarray:
+        """Stars over what fine sketches leave open between components."""
+        linked = np.zeros((len(self.n), len(self.n)), bool)
+        for p, q in self._pairs(self.data):
+            linked[p, q] = linked[q, p] = True
+        leaf = np.flatnonzero(linked.any(axis=1))
+        root = leaf[_roots(linked[np.ix_(leaf, leaf)])]
+        return np.stack([self.doc[leaf], self.doc[root]], axis=1)[leaf != root]
+
+    def links(self) -> np.ndarray:
+        """Links that join what is still apart; none is missing that joins more."""
+        sets = [np.frombuffer(x, np.uint64) for x in self.data]
+        out = []
+        for some in self._pairs([_odd(x, FINE) for x in sets]):
+            for x, y in zip(*(v.tolist() for v in some), strict=True):
+                if self.group[x] != self.group[y] and _reaches(sets[x], sets[y], self.percent):
+                    self.group[self.group == self.group[y]] = self.group[x]
+                    out.append((self.doc[x], self.doc[y]))
+        return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _families(docs: DataFrame, info: DataFrame, edges: DataFrame, parts: DataFrame, percent: int, width: int, exact: bool) -> DataFrame:
+    """Links within families, a family being what ``edges`` connect; not exact: stars of what may be linked.
+
+    A family's sets, or their fine sketches, go to one task, once; a large family is cut
+    into cells of two parts of about CELL_TOKENS tokens and CELL_SETS sets, and a set goes
+    to the cells of its part. A task compares what is in different components, joins them
+    as it finds links, and returns the links that joined: no list of pairs is ever made.
     """
-    size = info.groupBy(F.col("doc").alias("node")).agg(F.sum("n").alias("n"))
-    family = stage(connected_components(edges).withColumnRenamed("component", "family").join(size, "node"), "families")
-    cut = family.groupBy("family").agg(F.ceil(F.sum("n") / CELL_TOKENS).cast("int").alias("parts"))
+    each = info.groupBy(F.col("doc").alias("node")).agg(F.sum("n").alias("n"))
+    family = stage(connected_components(edges).withColumnRenamed("component", "family").join(each, "node"), "families")
+    tokens = CELL_TOKENS if exact else CELL_TOKENS * FINE
+    cut = family.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / tokens, F.count(F.lit(1)) / CELL_SETS)).cast("long").alias("parts"))
     known = parts.withColumnRenamed("component", "known")
     salt = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("long").alias("salt")
-    placed = family.join(cut, "family").join(known, "node", "left").select(F.col("node").alias("doc"), "family", F.coalesce("known", "node").alias("known"), salt, F.col("parts").cast("long").alias("parts"))
-    sets = _read_sets(docs, placed, width).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = family.join(cut, "family").join(known, "node", "left").select(F.col("node").alias("doc"), "family", F.coalesce("known", "node").alias("known"), salt, "parts")
+    sets = _read_sets(docs, placed, width, 0 if exact else FINE).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # With two parts and more, the cell of a part with itself is needed once, and each two parts' cell once.
-    sets = sets.select("family", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "doc", "known", "salt", "tokens")
+    sets = sets.select("family", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "doc", "known", "salt", "n", "tokens")
     dealt = sets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches):
         for _, part in _groups(batches, 3):
-            cell = _Cell(percent)
-            cell.rows = list(zip(*(part.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True))
-            found = cell.links()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            cell = _Cell(part, percent)
+            found = cell.links() if exact else cell.open_stars()
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, parts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links within what ``edges`` connect: families are parted by fine sketches, what is left is verified exactly."""
+    fine = stage(_families(docs, info, edges, parts, percent, width, False), "fine")
+    return _families(docs, info, fine, parts, percent, width, True)
+
+
 def _members(groups: DataFrame, info: DataFrame) -> DataFrame:
     """Groups of class ids as rows (key, rep): the group and a class's document."""
 
