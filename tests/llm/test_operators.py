@@ -134,7 +134,8 @@ def test_vector_links(spark):
     vectors += [None, [], [0.0] * 32, [float("nan")] * 32, [None] * 32, [1.0, 2.0], [2.0, 4.0], [float("inf")] * 32]
     ids = list(range(10, 10 + len(vectors)))
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>, n_links int, rep int")
-    for block in (16, 1024):
+    for block, sets in ((16, 24), (1024, ngram_join.CELL_SETS)):
+        monkeypatch.setattr(ngram_join, "CELL_SETS", sets)
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.link_vectors(df, block=block).collect()}
         assert got == brute_links(ids, vectors, 0.9)
     assert embeddings.link_vectors(df.limit(0)).count() == 0
@@ -232,7 +233,7 @@ def test_ngram_join(spark, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op10_ngram_join(spark, DATA).collect()} == brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_ngram_join_families(spark):
+def test_ngram_join_families(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(160)]
     texts = [None, "", " ", "A b", "a B", "one two three four"]
@@ -244,7 +245,8 @@ def test_ngram_join_families(spark):
     texts += [" ".join(base)] * 20 + [" ".join(base[:n]) for n in range(1, 24)]
     df = frame(spark, texts)
     want = brute_groups(list(enumerate(texts)))
-    for block in (16, 1024):
+    for block, sets in ((16, 24), (1024, ngram_join.CELL_SETS)):
+        monkeypatch.setattr(ngram_join, "CELL_SETS", sets)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components(df, block=block).collect()}
         assert got == want
     assert ngram_join.components(df.limit(0)).count() == 0
@@ -267,6 +269,20 @@ def test_pigeonhole_loses_no_pair(n, seed):
         assert np.intersect1d(plan.signatures(a), plan.signatures(b)).size
 
 
+def test_fine_sketches_lose_no_pair():
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in [1, 2, 9, 63, 64, 65, 66, 128, 129, 300, 1023, 1025]:
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[: n - k], rng.integers(0, 2**63, m).astype(np.uint64)])) for k, m in ((0, 0), (n // 20, 0), (n // 13, n // 13), (n // 8, n // 50), (n // 3, 0))]
+    n, group, side = np.array([len(x) for x in sets]), np.arange(len(sets)), np.arange(len(sets)) % 2
+    odd = [np.frombuffer(ngram_join._odd(x, ngram_join.FINE), np.uint8) for x in sets]
+    for sides in (None, side):
+        found = [(min(p, q), max(p, q)) for some in ngram_join._open_pairs(odd, n, group, sides, 85) for p, q in zip(*(v.tolist() for v in some))]
+        near = {(i, j) for j in range(len(sets)) for i in range(j) if n[j] and n[i] and (sides is None or side[i] != side[j]) and ngram_join._reaches(sets[i], sets[j], 85)}
+        assert len(set(found)) == len(found) and near and near <= set(found)
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "First line\nSecond line"), (1, 1, "assistant", "On Monday, Ann wrote:\n> first  LINE\n> second line\n\nYes."), (1, 2, "user", "Other start"), (1, 3, "assistant", ">> second line\n> Yes.\nGood."), (1, 4, "user", "> nowhere\nEnd"), (2, 0, None, None), (None, 1, "user", "> x"), (1, 4, "user", "again")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("body", F.lit("own"))
