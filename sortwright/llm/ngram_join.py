@@ -15,7 +15,7 @@ distance can't exceed the number of differing tokens, drop most wrong pairs; one
 a member is verified exactly, and components are formed. Then only pairs and groups
 that still hold several components are looked at again: their members are compared
 across components, in cells of bounded size, by sizes and sketches. What passes connects
-families; these are parted again by sketches eight times as fine, an eighth of a set's
+families; these are parted again by sketches eight times as fine, 64 bytes or an eighth of a set's
 size at most, and only the sets of what still hangs together are read and verified
 exactly. Equal sets are one class from the start.
 """
