@@ -15,6 +15,9 @@ from sortwright.llm.staging import stage
 
 #: Mean probability of the best language below which a text has none.
 LANGUAGE_SCORE = 0.3
+#: Near copies: word shingles of this width, of which this per cent of the union is common.
+COPY_WORDS = 5
+COPY_PERCENT = 80
 #: Ids up to which those of dropped documents are broadcast; beyond it they are shuffled.
 BROADCAST_IDS = 1 << 20
 
@@ -40,7 +43,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words and rows without an id are no one's copies and stay. Rows
     that repeat both id and text of a kept document go.
     """
-    groups = stage(ngram_join.components(docs), "components")
+    groups = stage(ngram_join.components(docs, percent=COPY_PERCENT, width=COPY_WORDS), "components")
     copies = stage(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
     kept = docs.join(_small(copies), "doc_id", "left_anti").select(docs.columns)
     again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -311,3 +311,12 @@ def test_pipeline(spark):
     extra = frame(spark, ["Some words of a text that is one of two.", "Some words of a text that is one of two.", None])
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, extra, DATA).collect()) == [0, 2]
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_near_copies_take_five_words_and_80_percent(spark):
+    base = [f"w{i}" for i in range(100)]
+    more = [f"x{i}" for i in range(40)]
+    other = [f"y{i}" for i in range(100)]
+    # Five words: 96 / 118 = 0.814 is a copy (four words: 97 / 119), 96 / 121 = 0.793 is none.
+    texts = [" ".join(w) for w in (base, base + more[:22], other, other + more[:25])]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, frame(spark, texts), DATA).collect()) == [0, 2, 3]
