@@ -587,6 +587,15 @@ def _other_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
+def _several_sets(seen: DataFrame) -> DataFrame | None:
+    """The ids (doc) whose rows have different sets, or None."""
+    again = stage(seen.groupBy("doc").count().where("count > 1").select("doc"), "repeated")
+    if again.isEmpty():
+        return None
+    several = stage(seen.join(again, "doc", "left_semi").select("doc", "digest").distinct().groupBy("doc").count().where("count > 1").select("doc"), "several")
+    return None if several.isEmpty() else several
+
+
 def components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS, block: int = BLOCK
 ) -> DataFrame:
@@ -623,6 +632,10 @@ def components(
     clash = info.groupBy("cid").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x != y").select(F.col("y").alias("a"), F.col("x").alias("b"))
     near = stage(_near_pairs(met.where("a is not null").select("a", "b").distinct(), info, percent).unionByName(clash), "pairs")
     links = stage(_verified_star(docs, near.groupBy("a").agg(F.min("b").alias("b")), percent, width), "links")
+    several = _several_sets(seen)
+    if several is not None:
+        own = seen.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), "digest").join(info.select("digest", F.col("doc").alias("b")), "digest")
+        links = stage(links.unionByName(own.select("a", "b").distinct()), "links")
     parts = connected_components(links)
     members = stage(_members(met.where("members is not null").select("members").distinct(), info), "members")
     pairs = stage(_other_parts(near, parts).unionByName(_across(members, info, parts, percent, block)).distinct(), "pairs")
@@ -630,7 +643,12 @@ def components(
         links = links.unionByName(stage(_verified(docs, info, pairs, parts, percent, width), "links"))
         parts = connected_components(links)
     by_class = info.join(parts, info["doc"] == parts["node"], "left").select("digest", F.coalesce("component", "doc").alias("lowest"))
-    placed = seen.join(by_class, "digest", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc").alias("component_id"))
+    placed = seen.join(by_class, "digest", "left")
+    if several is not None:
+        # Rows of such an id without words are in no class, but the same document.
+        whole = parts.join(several.withColumnRenamed("doc", "node"), "node").withColumnRenamed("component", "whole")
+        placed = placed.join(whole, placed["doc"] == whole["node"], "left").withColumn("lowest", F.coalesce("lowest", "whole"))
+    placed = placed.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc").alias("component_id"))
     unnamed = docs.where("doc is null")
 
     def sizes(batches):

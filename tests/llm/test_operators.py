@@ -319,3 +319,10 @@ def test_near_copies_take_five_words_and_80_percent(spark):
     # Five words: 96 / 118 = 0.814 is a copy (four words: 97 / 119), 96 / 121 = 0.793 is none.
     texts = [" ".join(w) for w in (base, base + more[:22], other, other + more[:25])]
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, frame(spark, texts), DATA).collect()) == [0, 2, 3]
+
+
+def test_an_id_with_different_texts_joins_its_classes(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (8, c), (8, " "), (8, b), (2, d), (2, d), (2, ""), (1, None)]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, i if i < 3 else 3) for i, _ in rows)
