@@ -31,8 +31,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts whose language the network tells: they have letters and a clear best language."""
+    """Keep texts whose language the network tells: they have letters and a clear best language.
+
+    With no language learned no text can be told from another, so all stay.
+    """
     net = langid.train(docs)
+    if not net.languages:
+        return docs
     found = langid.predict(docs.withColumn("__row", F.struct(*docs.columns)).select("__row", F.col("text")), net, "__row")
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select("__row.*")
 

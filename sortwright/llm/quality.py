@@ -114,12 +114,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: floa
     """Fit by Adam on the mean log-likelihood with a lasso; thresholds stay ordered.
 
     The k-th threshold is the one below it plus the exponential of a free step. No
-    rows give a model without weights that finds every grade above 0 likely.
+    rows give a model without weights that finds the top grade certain: it selects every text.
     """
     top = int(grades.max()) if len(grades) else 1
     top = max(1, top)
     if not len(rows):
-        return OrdinalModel(np.zeros(1 << bits, np.float32), np.arange(-top, 0, dtype=np.float64))
+        return OrdinalModel(np.zeros(1 << bits, np.float32), np.arange(-top, 0, dtype=np.float64) - 40)
     sizes = np.array([len(r) for r in rows])
     cols, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
     used = np.bincount(cols, minlength=1 << bits)

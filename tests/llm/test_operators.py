@@ -326,3 +326,12 @@ def test_an_id_with_different_texts_joins_its_classes(spark):
     rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (8, c), (8, " "), (8, b), (2, d), (2, d), (2, ""), (1, None)]
     got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, i if i < 3 else 3) for i, _ in rows)
+
+
+def test_stages_keep_all_without_labels(spark, tmp_path):
+    some = frame(spark, ["Some words of a text.", "", None, "other words"], [None] * 4)
+    for name, rows in (("none", []), ("others", [(77, 1, 0)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = corpus_pipeline.quality_stage(spark, some, f"{tmp_path}/{name}")
+        assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, some, DATA).collect()) == [0, 1, 2, 3]
