@@ -23,6 +23,7 @@ from .arrow import arrow_schema, slices
 #: Elements by what they do to text (HTML standard).
 UNSEEN = "script style noscript template svg iframe object textarea select head title canvas math audio video".split()
 INLINE = "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
 HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 NESTING = "div section nav header footer aside article main form ul ol li dl table tr td th figure figcaption blockquote fieldset dialog menu details center body button".split()
 #: Elements, and words of class, id and role, that name page furniture.
@@ -35,6 +36,10 @@ NAMES = frozenset(
     " popup modal overlay widget widgets pagination pager toolbar skip form contentinfo complementary dialog".split()
 )
 STEMS = tuple("advert sponsor promo cookie comment breadcrumb sidebar newsletter subscri recommend notif paginat navbar".split())
+#: Elements that hold no other blocks; a next block ends them.
+LEAVES = frozenset(["p", "pre", *HEADINGS])
+#: An entry of a list of terms ends at the next one.
+TERMS = frozenset(["dt", "dd"])
 TOP_NAMES = frozenset("header topbar head banner".split())
 
 _TAG = regex.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", regex.S)
@@ -56,6 +61,20 @@ def _named(rest: str) -> set[str]:
     return {w.lower() for m in _NAMED.finditer(rest) for w in _WORD.findall(m[1] or m[2] or m[3] or "")} if "=" in rest else set()
 
 
+def _names_furniture(found: set[str]) -> bool:
+    return bool(found & NAMES) or any(w.startswith(STEMS) for w in found)
+
+
+def _all_furniture(rest: str, nested: bool) -> bool:
+    """Whether an article's names say nothing but furniture: ``comment``, and ``comment-body`` within another element.
+
+    A word among others (``post has-comments``) says what the article has, not what it is.
+    """
+    names = [n for m in _NAMED.finditer(rest) for n in (m[1] or m[2] or m[3] or "").split()] if "=" in rest else []
+    words = [w for w in ([x.lower() for x in _WORD.findall(n)] for n in names) if w]
+    return bool(words) and all(all(_names_furniture({x}) for x in (w[:1] if nested else w)) for w in words)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The non-empty text blocks of a page, in page order."""
     out: list[Block] = []
@@ -64,12 +83,13 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # element, within main, furniture since the innermost main
     anchor, heading, at, page = 0, False, 0, page or ""
     main = furniture = False
+    leaf = False  # within a leaf that is named as furniture
 
     def flush() -> None:
         nonlocal text, linked
         words = html.unescape("".join(text)).split()
         if words:
-            out.append(Block(" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), main, furniture, heading))
+            out.append(Block(" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), main, furniture or leaf, heading))
         text, linked = [], []
 
     end = len(page)
@@ -101,9 +121,14 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             continue
         flush()
+        leaf = name in LEAVES and not m["end"] and _names_furniture(_named(m["rest"]))
+        if name in TERMS and not m["end"] and stack and stack[-1][0] in TERMS:
+            stack.pop()
+            main, furniture = stack[-1][1:] if stack else (False, False)
+        other = name not in LEAVES and (_names_furniture(_named(m["rest"])) if not m["end"] else any(e[0] == name for e in stack))
         if name in HEADINGS:
             heading = not m["end"]
-        elif name in NESTING:
+        elif name in NESTING or other and name not in VOID:
             heading, anchor = False, 0
             if m["end"]:
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
@@ -111,7 +136,12 @@ def blocks(page: str | None) -> list[Block]:
                     del stack[k:]
             else:
                 found = _named(m["rest"])
-                odd = name in FURNITURE or bool(found & NAMES) or any(w.startswith(STEMS) for w in found) or not main and (name == "header" or bool(found & TOP_NAMES))
+                if name in ("main", "body"):
+                    odd = False
+                elif name == "article":
+                    odd = _all_furniture(m["rest"], main or furniture)
+                else:
+                    odd = name in FURNITURE or _names_furniture(found) or not main and (name == "header" or bool(found & TOP_NAMES))
                 opens = name in ("article", "main") and not odd
                 stack.append((name, main or opens, odd or furniture and not opens))
             main, furniture = stack[-1][1:] if stack else (False, False)

@@ -335,3 +335,16 @@ def test_stages_keep_all_without_labels(spark, tmp_path):
         kept = corpus_pipeline.quality_stage(spark, some, f"{tmp_path}/{name}")
         assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3]
     assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, some, DATA).collect()) == [0, 1, 2, 3]
+
+
+def test_html_names_of_main_elements_and_leaves():
+    tree = html_text.train()
+    words = "some words of a text that goes on for a while, as texts do"
+    for at in ('<article class="post has-comments">', '<article class="comments-open">', '<main class="with-sidebar">', '<body class="with-sidebar"><article>', '<main><article class="post has-comments">'):
+        page = f"<nav><a href=x>m</a></nav>{at}<h1>title</h1><p>{words}</p><p>{words}</p>"
+        assert html_text.main_text(page, tree) == f"title\n{words}\n{words}", at
+    assert html_text.main_text(f'<body class="page comments-open"><p>{words}</p><p>{words}</p>', tree) == f"{words}\n{words}"
+    page = f'<article><h1>title</h1><p class="ad">buy</p><p>{words}</p><h2 id=related>more</h2><pre role="alert">hey</pre>{words}<dl><dd class=ad>one<dd>two</dl><address class="share"><p>us</p></address><p>end</article>'
+    assert html_text.main_text(page, tree) == f"title\n{words}\n{words}\ntwo\nend"
+    page = f'<article class="post"><p>{words}</p></article><article class="comment"><p>{words} too</p></article><section id="comments"><article class="comment-body"><p>{words} too</p></article></section>'
+    assert html_text.main_text(page, tree) == words
