@@ -357,3 +357,37 @@ def test_language_stage_drops_no_learned_language(spark):
     both = more.unionByName(spark.createDataFrame(rows, more.schema))
     kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, both, "").select("doc_id").collect()}
     assert not [i for i in kept if i < 0] and len(kept) >= 0.995 * more.count()
+
+
+def brute_copies(rows):
+    """Ids that are no smallest of their group: 5 words, 80 %, in plain Python."""
+    cut = lambda t: {tuple(t.encode().lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
+    sets, root = {i: cut(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    return {i for i, r in root.items() if i != r}
+
+
+def test_pipeline_equals_brute_force(spark, docs, library, tmp_path):
+    rows = [tuple(r) for r in docs.collect()]
+    for r in [r for r in rows if len(r[1].split()) > 100][:12]:
+        words = r[1].split()
+        rows.append((100_000 + r[0], " ".join([*words, *(f"x{k}" for k in range(len(words) * 22 // 100))]), *r[2:]))
+    spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    every = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality.train(every, quality.grades_from_labels(spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    made = quality.Features()
+    good = [r for r in rows if model.tails(np.array([model.score(made.text(r[1]))]))[0, -1] >= quality.SELECT]
+    net = langid.train(spark.createDataFrame(good, docs.schema))
+    told = zip(good, *langid.predict_texts(net, [r[1] for r in good]), strict=True)
+    clear = [(r[0], r[1]) for r, lang, score in told if lang != "und" and score >= corpus_pipeline.LANGUAGE_SCORE]
+    copies = brute_copies(clear)
+    want = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in clear if i not in copies}
+    assert 0 < len(want) < len(clear) < len(rows) and [i for i in copies if i > 100_000]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == set(want)
+    check_packing(pieces, want, 2048)
