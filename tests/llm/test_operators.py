@@ -350,15 +350,6 @@ def test_html_names_of_main_elements_and_leaves():
     assert html_text.main_text(page, tree) == words
 
 
-def test_language_stage_drops_no_learned_language(spark):
-    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    odd = ["Αυτό είναι ένα κείμενο στα ελληνικά που δεν έμαθε ποτέ το δίκτυο. " * 4, "Это предложение на русском языке, и в нём нет ни одного латинского слова. " * 4]
-    rows = [(-1 - i, t, None, "s", 0) for i, t in enumerate(odd)]
-    both = more.unionByName(spark.createDataFrame(rows, more.schema))
-    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, both, "").select("doc_id").collect()}
-    assert not [i for i in kept if i < 0] and len(kept) >= 0.995 * more.count()
-
-
 def brute_copies(rows):
     """Ids that are no smallest of their group: 5 words, 80 %, in plain Python."""
     cut = lambda t: {tuple(t.encode().lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
