@@ -6,7 +6,10 @@ the universe into segments; by the pigeonhole principle some segment i has at mo
 e_i differences once the sum of (e_i + 1) exceeds H. A segment is skipped (e = -1),
 indexed by its subset (0) or by the subset and its one-deletion neighbourhood (1);
 the allocation takes the cheapest segments, costs being estimated on a bounded
-sample. It steers cost only: any allocation with that sum loses no pair.
+sample. It steers cost only: any allocation with that sum loses no pair. With a sum
+greater by a slack, a set may leave out as many segments whose subset is empty or
+common in the sample (a passage that many texts share): a pair agrees in more segments
+than that, and an agreeing subset is common for both sets or for neither.
 
 Set ids that meet under a signature are candidates. They are verified in two rounds,
 so that a large group of near copies never becomes all its pairs. Every member of a
@@ -14,10 +17,9 @@ signature's group is paired with the smallest one; sizes and parity sketches, wh
 distance can't exceed the number of differing tokens, drop most wrong pairs; one pair
 a member is verified exactly, and components are formed. Then only pairs and groups
 that still hold several components are looked at again: their members are compared
-across components, in cells of bounded size, by sizes and sketches. What passes connects
-families; these are parted again by sketches eight times as fine, 64 bytes or an eighth of a set's
-size at most, and only the sets of what still hangs together are read and verified
-exactly. Equal sets are one class from the start.
+across components, in cells of bounded size, by sizes and sketches; a task gets each
+sketch once, and the groups as ids. What passes connects families, whose sets are read
+and verified exactly. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -37,25 +39,39 @@ from .fingerprints import MEMO_ENTRIES, _STEP, mix
 from .graph import connected_components
 from .staging import stage
 
+_LOW = np.uint64((1 << 48) - 1)
+
 WORDS = 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BAND_RATIO = 1.6
 #: Sets (expected) on which the costs of segments are estimated; they never change results.
-COST_SAMPLE = 2000
-#: Postings that a task holds before it deals them out.
+COST_SAMPLE = 4000
+#: Slacks that are tried for a band, as parts of the least sum of its allocation.
+SLACKS = (0.02, 0.1, 0.2, 0.35, 0.6, 1.0)
+#: A subset is common that so many sampled sets have, and by the sample so many sets of all.
+COMMON_SAMPLED = 3
+COMMON_SETS = 32
+#: Postings that a group costs a member, and members that it may have for each more.
+GROUP_COST = 4
+GROUP_SETS = 64
+#: Postings that a task holds before it deals them out, and that a deal is meant to hold.
 FLUSH = 1 << 20
+DEAL_POSTINGS = 1 << 22
+#: Class ids of a group in one row.
+GROUP_IDS = 1 << 16
 BLOCK = 1024
 CODE_RATIO = 1.056
 #: Tokens and sets of a part of a family: a comparing task holds two parts.
 CELL_TOKENS = 1 << 20
 CELL_SETS = 1 << 11
-#: Cells of a fine sketch to one of a plain sketch.
+#: Cells of the sketches of the index, and of those made of read sets, to one of a plain sketch.
+SKETCH = 4
 FINE = 8
 #: Pairs of sets that a task looks at together.
 PAIRS = 1 << 20
 #: Group rows of one family that a task compares, on average.
-FAMILY = 1 << 16
+FAMILY = 1 << 13
 #: Class ids up to which the ids of candidates are broadcast to the second reading of the texts.
 BROADCAST_IDS = 1 << 20
 
@@ -108,14 +124,14 @@ def most_different(total: int, percent: int = PERCENT) -> int:
 
 
 class Scheme:
-    """Segments and allocation of one band."""
+    """Segments and allocation of one band; ``skip``: its slack and, ascending, the keys of common subsets."""
 
-    def __init__(self, band: int, percent: int, costs: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, band: int, percent: int, costs: tuple[np.ndarray, np.ndarray] | None = None, skip: tuple[int, np.ndarray] | None = None):
         self.band = band
         self.limit = most_different(2 * (band_start(band + 1) - 1), percent)
         base = self.limit + 1
-        self.slack = 1 + base // 50
-        need = base + 2 * self.slack
+        self.slack, self.common = skip if skip is not None else (1 + base // 50, np.empty(0, np.uint64))
+        need = base + self.slack
         self.segments = need + 1 + need // 10
         zero, one = costs if costs is not None else (np.ones(self.segments), np.full(self.segments, np.inf))
         # Marginal costs of the two steps; the second is never taken before the first.
@@ -132,34 +148,35 @@ class Scheme:
         np.add.at(total, seg, value)
         return seg, value, total
 
-    def _key(self, total: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    def key(self, total: np.ndarray, seg: np.ndarray) -> np.ndarray:
         return mix(total + (self.seed + seg.astype(np.uint64)) * np.uint64(0xD1342543DE82EF95))
 
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
         seg, value, total = self.split(tokens)
         size = np.bincount(seg, minlength=self.segments)
-        used = self.level >= 0
-        empty = used & (size == 0)
-        # Few empty segments are left out: the slack pays for those of both sets. Many are all indexed.
-        if (self.level[empty] + 1).sum() <= self.slack:
-            used = used & ~empty
-        at = np.flatnonzero(used)
-        out = [self._key(total[at], at)]
+        at = np.flatnonzero(self.level >= 0)
+        keys = self.key(total[at], at)
+        common = size[at] == 0
+        if len(self.common):
+            common |= self.common[np.minimum(np.searchsorted(self.common, keys), len(self.common) - 1)] == keys
+        # Only where subsets must be equal: there they are common for both sets or for neither.
+        common &= self.level[at] == 0
+        out = [keys[~common] if common.sum() <= self.slack else keys]
         if (self.level > 0).any():
             pick = self.level[seg] > 0
-            out.append(self._key(total[seg[pick]] - value[pick], seg[pick]))
+            out.append(self.key(total[seg[pick]] - value[pick], seg[pick]))
         return np.concatenate(out)
 
 
 class Plan:
     """The schemes that a set of a given size is indexed under."""
 
-    def __init__(self, percent: int, costs: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.percent, self.costs, self.made = percent, costs, {}
+    def __init__(self, percent: int, costs: dict[int, tuple[np.ndarray, np.ndarray]], skips: dict[int, tuple[int, np.ndarray]] | None = None):
+        self.percent, self.costs, self.skips, self.made = percent, costs, skips or {}, {}
 
     def scheme(self, band: int) -> Scheme:
         if band not in self.made:
-            self.made[band] = Scheme(band, self.percent, self.costs.get(band))
+            self.made[band] = Scheme(band, self.percent, self.costs.get(band), self.skips.get(band))
         return self.made[band]
 
     def bands(self, n: int) -> list[int]:
@@ -173,25 +190,42 @@ class Plan:
         return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def segment_costs(sample: list[np.ndarray], percent: int, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Expected cost a set of each segment of each band: postings and sets met, for subset and neighbourhood."""
-    plain = Plan(percent, {})
-    totals: dict[int, list[np.ndarray]] = {}
-    for tokens in sample:
+def _cost(postings: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """The mean cost a set of each segment: postings, and what groups with others cost."""
+    return (postings + (met > 0) * GROUP_COST + met / GROUP_SETS).mean(axis=0)
+
+
+def tuned_plan(sample: list[np.ndarray], percent: int, scale: float) -> Plan:
+    """The plan that costs least on sampled sets, each standing for ``scale`` sets.
+
+    For each band a slack is chosen by the postings that are left and the groups they
+    meet in; then the segments' costs: postings and sets met, for subset and neighbourhood.
+    """
+    plain, by_band = Plan(percent, {}), {}
+    for tokens in {x.tobytes(): x for x in sample}.values():
         for b in plain.bands(len(tokens)) if len(tokens) else []:
-            totals.setdefault(b, []).append(plain.scheme(b).split(tokens)[2])
-    out = {}
-    for b, rows in totals.items():
-        s = np.sort(np.stack(rows), axis=0)
-        n, m = s.shape
-        run = np.concatenate([np.ones((1, m), bool), s[1:] != s[:-1]])
-        met = np.zeros(m)
-        for i in range(m):
-            sizes = np.diff(np.append(np.flatnonzero(run[:, i]), n))
-            met[i] = ((sizes - 1) * sizes).sum() / n
-        each = band_start(b + 1) / m
-        out[b] = (1 + met * scale, (1 + each) * (1 + met * scale))
-    return out
+            by_band.setdefault(b, []).append(tokens)
+    costs, skips = {}, {}
+    for b, sets in by_band.items():
+        base, best = plain.scheme(b).limit + 1, None
+        for slack in sorted({1 + int(base * share) for share in SLACKS}):
+            scheme = Scheme(b, percent, None, (slack, np.empty(0, np.uint64)))
+            split = [scheme.split(x) for x in sets]
+            total, size = np.stack([t for _, _, t in split]), np.stack([np.bincount(g, minlength=scheme.segments) for g, _, _ in split])
+            keys = scheme.key(total, np.arange(scheme.segments)[None, :])
+            values, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            counts = counts[inverse.reshape(-1)].reshape(keys.shape)
+            common = (size == 0) | (counts >= COMMON_SAMPLED) & (counts * scale >= COMMON_SETS)
+            kept = ~(common & (common.sum(axis=1) <= slack)[:, None])
+            zero = _cost(kept, np.where(kept, (counts - 1) * scale, 0.0))
+            # All of the segments that a scheme has are looked at; the dearest tenth will be left out.
+            if best is None or zero.sum() < best[0]:
+                # A neighbourhood is never left out, and sets with one token or none meet under its empty subset.
+                few = ((size <= 1).sum(axis=0) - 1) * scale
+                one = _cost(1 + size, np.where(size <= 1, np.maximum(few, 0), (counts - 1) * scale))
+                best = (zero.sum(), slack, np.unique(keys[common & (size != 0)]), (zero, one))
+        skips[b], costs[b] = best[1:3], best[3]
+    return Plan(percent, costs, skips)
 
 
 def size_code(n: int) -> int:
@@ -228,78 +262,102 @@ def _folded(odd: np.ndarray, size: int) -> np.ndarray:
     return odd
 
 
+def _block(sig: np.ndarray, doc: np.ndarray, cid: np.ndarray) -> bytes:
+    """Postings as bytes: the class ids met, and by ascending signature its low 48 bits and the class's place.
+
+    Bytes of equal weight lie together, so that the leading ones, which ascend, compress.
+    """
+    order = np.argsort(sig & _LOW, kind="stable")
+    ids, place = np.unique(doc[order], return_inverse=True)
+    low = np.ascontiguousarray((sig[order] & _LOW).view(np.uint8).reshape(-1, 8)[:, :6].T)
+    place = np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : 2 if len(ids) <= 1 << 16 else 4].T)
+    return np.array([len(sig), len(ids)], "<i8").tobytes() + cid[ids].tobytes() + low.tobytes() + place.tobytes()
+
+
+def _unblock(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (low 48 bits) and class ids of a block."""
+    n, classes = np.frombuffer(data, "<i8", 2).tolist()
+    cid, rest = np.frombuffer(data, np.int64, classes, 16), np.frombuffer(data, np.uint8, offset=16 + 8 * classes)
+    sig, place = np.zeros((n, 8), np.uint8), np.zeros((n, 4), np.uint8)
+    sig[:, :6] = rest[: 6 * n].reshape(6, n).T
+    wide = rest[6 * n :].reshape(-1, n)
+    place[:, : len(wide)] = wide.T
+    return sig.view("<u8")[:, 0], cid[place.view("<u4")[:, 0]]
+
+
 def _index(docs: DataFrame, plan: Plan, deals: int, width: int) -> DataFrame:
     """Rows of documents (doc, n, digest, class id) and of packed postings (deal, postings)."""
     kind = [("deal", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cid", pa.int64()), ("odd", pa.binary()), ("postings", pa.binary())]
     schema = arrow_schema(kind)
 
     def run(batches):
-        held, size, done = [], 0, set()
+        held, cids, size, done = [], [], 0, set()
 
         def flush():
-            rec = np.concatenate(held)
-            deal = (rec[:, 0] >> np.uint64(40)) % np.uint64(deals)
+            sig = np.concatenate(held)
+            doc = np.repeat(np.arange(len(held)), list(map(len, held)))
+            deal = (sig >> np.uint64(40)) % np.uint64(deals)
             order = np.argsort(deal, kind="stable")
-            rec, deal = rec[order], deal[order]
-            ends = np.searchsorted(deal, np.arange(deals + 1))
+            sig, doc, cid = sig[order], doc[order], np.array(cids, np.int64)
+            ends = np.searchsorted(deal[order], np.arange(deals + 1))
             some = np.flatnonzero(np.diff(ends))
             none = [None] * len(some)
-            blobs = [rec[ends[i] : ends[i + 1]].tobytes() for i in some.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([some.astype(np.int32), none, none, none, none, none, blobs], schema, strict=True)], schema=schema)
+            blocks = [_block(sig[ends[i] : ends[i + 1]], doc[ends[i] : ends[i + 1]], cid) for i in some.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([some.astype(np.int32), none, none, none, none, none, blocks], schema, strict=True)], schema=schema)
 
         for rows in slices(batches):
             out = []
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 tokens = shingle_set(text, width)
                 digest, cid = _digest(tokens)
-                out.append((hash(doc) % deals, doc, len(tokens), digest, cid, _odd(tokens), None))
+                out.append((hash(doc) % deals, doc, len(tokens), digest, cid, _odd(tokens, SKETCH), None))
                 if digest in done or not len(tokens):
                     continue
                 if len(done) < 1 << 20:
                     done.add(digest)
                 sig = plan.signatures(tokens)
                 if len(sig):
-                    held.append(np.stack([sig, np.full(len(sig), cid, np.int64).view(np.uint64)], axis=1))
+                    held.append(sig)
+                    cids.append(cid)
                     size += len(sig)
                 if size >= FLUSH:
                     yield flush()
-                    held, size = [], 0
+                    held, cids, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         if held:
             yield flush()
 
     src = docs.mapInArrow(run, "deal int, doc long, n long, digest binary, cid long, odd binary, postings binary")
-    return src.repartition(deals, "deal")
+    return src.repartitionById(deals, F.col("deal"))
 
 
 def _meet(indexed: DataFrame, percent: int) -> DataFrame:
-    """Pass documents on; turn a deal's postings into stars (a, b) and groups of three and more ids.
+    """Pass documents on; turn a deal's postings into stars (a, b) and groups (key, members) of three and more ids.
 
     Of the ids under a signature each is paired with the one of the smallest size that it can link with.
     """
-    schema = arrow_schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cid", pa.int64()), ("odd", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
-    names = ["doc", "n", "digest", "cid", "odd"]
+    schema = arrow_schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cid", pa.int64()), ("odd", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("members", pa.binary())])
+
+    def rows_of(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def run(batches):
-        blobs: list[bytes] = []
+        blocks: list[bytes] = []
         for rows in batches:
-            is_doc = rows.column(6).is_null()
-            part = rows.filter(is_doc)
+            part = rows.filter(rows.column(6).is_null())
             if part.num_rows:
-                none = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(part.column(i).cast(schema.field(i - 1).type) for i in range(1, 6)), *none], schema=schema)
-            blobs += [b for b in rows.column(6).to_pylist() if b is not None]
-        if not blobs:
+                yield rows_of(part.num_rows, **{schema.field(i - 1).name: part.column(i).cast(schema.field(i - 1).type) for i in range(1, 6)})
+            blocks += [b for b in rows.column(6).to_pylist() if b is not None]
+        if not blocks:
             return
-        rec = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
-        blobs.clear()
-        order = np.argsort(rec[:, 0], kind="stable")
-        sig = rec[order, 0]
+        sig, cid = (np.concatenate(x) for x in zip(*map(_unblock, blocks), strict=True))
+        blocks.clear()
+        order = np.argsort(sig, kind="stable")
+        sig, cid = sig[order], cid[order]
         new = np.concatenate([[True], sig[1:] != sig[:-1]])
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(sig)))
+        count = np.diff(np.append(np.flatnonzero(new), len(sig)))
         many = np.repeat(count > 1, count)
-        sig, cid = sig[many], rec[order, 1][many].view(np.int64)
+        sig, cid = sig[many], cid[many]
         order = np.lexsort((cid, cid & 255, sig))
         sig, cid = sig[order], cid[order]
         keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])]) if len(sig) else np.zeros(0, bool)
@@ -314,16 +372,23 @@ def _meet(indexed: DataFrame, percent: int) -> DataFrame:
         pair = np.unique(np.stack([cid, hub], axis=1)[cid != hub], axis=0)
         for i in range(0, len(pair), 1 << 16):
             p = pair[i : i + (1 << 16)]
-            none = [pa.nulls(len(p), schema.field(n).type) for n in names]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1])), pa.nulls(len(p), pa.binary())], schema=schema)
-        big = np.flatnonzero(count > 2)
-        groups = list({cid[s : s + c].tobytes() for s, c in zip(start[big].tolist(), count[big].tolist(), strict=True)})
-        for i in range(0, len(groups), 4096):
-            g = groups[i : i + 4096]
-            none = [pa.nulls(len(g), schema.field(j).type) for j in range(7)]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(g, pa.binary())], schema=schema)
+            yield rows_of(len(p), a=pa.array(np.ascontiguousarray(p[:, 0])), b=pa.array(np.ascontiguousarray(p[:, 1])))
+        done, held, size = set(), [], 0
+        for s, c in zip(start[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            ids = cid[s : s + c]
+            key = xxhash.xxh3_64_intdigest(ids.tobytes())
+            if key in done:
+                continue
+            done.add(key)
+            held += [(key - (1 << 63), ids[k : k + GROUP_IDS].tobytes()) for k in range(0, c, GROUP_IDS)]
+            size += c
+            if size >= FLUSH:
+                yield rows_of(len(held), key=pa.array([k for k, _ in held], pa.int64()), members=pa.array([m for _, m in held], pa.binary()))
+                held, size = [], 0
+        if held:
+            yield rows_of(len(held), key=pa.array([k for k, _ in held], pa.int64()), members=pa.array([m for _, m in held], pa.binary()))
 
-    return indexed.mapInArrow(run, "doc long, n long, digest binary, cid long, odd binary, a long, b long, members binary")
+    return indexed.mapInArrow(run, "doc long, n long, digest binary, cid long, odd binary, a long, b long, key long, members binary")
 
 
 def _open_pair(na: int, nb: int, oa: bytes, ob: bytes, percent: int) -> bool:
@@ -349,8 +414,8 @@ def _near_pairs(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return both.where("da != db").select(F.greatest("da", "db").alias("a"), F.least("da", "db").alias("b"), "na", "nb", "oa", "ob").mapInArrow(run, "a long, b long")
 
 
-def _read_sets(docs: DataFrame, wanted: DataFrame, width: int, fine: int = 0) -> DataFrame:
-    """Token sets of documents, read again, or their sketches of that fineness.
+def _read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Token sets of documents, read again.
 
     ``wanted``: doc and other ids, kept beside n, the set's size, and tokens.
     """
@@ -361,9 +426,8 @@ def _read_sets(docs: DataFrame, wanted: DataFrame, width: int, fine: int = 0) ->
     def run(batches):
         for rows in slices(batches):
             sets = [shingle_set(t, width) for t in rows.column(len(names)).to_pylist()]
-            data = [_odd(x, fine) if fine else x.tobytes() for x in sets]
             n = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], n, pa.array(data, pa.binary())], names=[*names, "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], n, pa.array([x.tobytes() for x in sets], pa.binary())], names=[*names, "n", "tokens"])
 
     fields = ", ".join(f"{n} long" for n in names)
     return docs.join(ids, "doc").select(*names, "text").mapInArrow(run, f"{fields}, n long, tokens binary")
@@ -396,18 +460,47 @@ def _verified_star(docs: DataFrame, star: DataFrame, percent: int, width: int) -
     return _compared(leaves.join(hubs, "b"), percent)
 
 
-def _open_pairs(odd: list[np.ndarray], n: np.ndarray, group: np.ndarray, side: np.ndarray | None, percent: int):
-    """Blocks (p, q) of pairs of different groups, and sides if given, that sizes and fine sketches leave open.
+class _Sketches:
+    """Sketches by their length, folded to half of it where asked."""
+
+    def __init__(self, odd: list):
+        odd = [np.frombuffer(o, np.uint8) for o in odd]
+        self.length = np.array([len(o) for o in odd], np.int64)
+        self.place, self.by = np.zeros(len(odd), np.int64), {}
+        for size in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == size)
+            self.place[at] = np.arange(len(at))
+            self.by[size, size] = np.stack([odd[i] for i in at.tolist()])
+
+    def rows(self, at: np.ndarray, size: int, to: int) -> np.ndarray:
+        """Sketches ``at``, all of ``size`` bytes, folded to ``to``, as 64-bit words."""
+        if (size, to) not in self.by:
+            half = self.by[size, size]
+            while half.shape[1] > to:
+                half = half[:, : half.shape[1] // 2] ^ half[:, half.shape[1] // 2 :]
+            self.by[size, to] = np.ascontiguousarray(half)
+        return self.by[size, to][self.place[at]].view(np.uint64)
 
-    ``group`` may change between two blocks; what is one group by then is left out.
+
+def _open_pairs(odd: list | _Sketches, n: np.ndarray, group: np.ndarray, side: np.ndarray | None, percent: int, members: np.ndarray | None = None):
+    """Blocks (p, q) of pairs of different groups, and sides if given, that sizes and sketches leave open.
+
+    ``n`` and ``group`` go by member, as p and q do; ``members`` are their places among the
+    sketches (all of them). ``group`` may change between two blocks; what is one group by then is left out.
     """
-    length = np.array([len(o) for o in odd])
+    sketches = odd if isinstance(odd, _Sketches) else _Sketches(odd)
+    members = np.arange(len(n)) if members is None else members
+    length = sketches.length[members]
     for size in np.unique(length).tolist():
         # A set more than twice as large can't reach the threshold of another.
-        mine, rest = np.flatnonzero(length == size), np.flatnonzero((length == size) | (length == 2 * size))
-        x = np.stack([odd[i] for i in mine.tolist()])
-        y = np.stack([_folded(odd[i], size) for i in rest.tolist()])
-        levels = [(_rows_folded(x, s), _rows_folded(y, s)) for s in (max(8, size // FINE), size)]
+        mine, twice = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)
+        rest = np.concatenate([mine, twice])
+        if len(rest) < 2:
+            continue
+        levels = []
+        for s in sorted({max(8, size // FINE), size}):
+            x = sketches.rows(members[mine], size, s)
+            levels.append((x, np.concatenate([x, sketches.rows(members[twice], 2 * size, s)]) if len(twice) else x))
         step = max(1, PAIRS // len(rest))
         for at in range(0, len(mine), step):
             i = mine[at : at + step, None]
@@ -429,11 +522,17 @@ def _open_pairs(odd: list[np.ndarray], n: np.ndarray, group: np.ndarray, side: n
                 yield mine[p], rest[q]
 
 
-def _rows_folded(odd: np.ndarray, size: int) -> np.ndarray:
-    while odd.shape[1] > size:
-        half = odd.shape[1] // 2
-        odd = odd[:, :half] ^ odd[:, half:]
-    return np.ascontiguousarray(odd).view(np.uint64)
+def _stars(pairs, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves and roots (places below ``n``) of the parts that blocks of pairs connect."""
+    linked = None
+    for p, q in pairs:
+        linked = np.zeros((n, n), bool) if linked is None else linked
+        linked[p, q] = linked[q, p] = True
+    if linked is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    leaf = np.flatnonzero(linked.any(axis=1))
+    root = leaf[_roots(linked[np.ix_(leaf, leaf)])]
+    return leaf[leaf != root], root[leaf != root]
 
 
 class _Cell:
@@ -447,16 +546,7 @@ class _Cell:
         self.side = side if len(np.unique(side)) > 1 else None
 
     def _pairs(self, odd: list[bytes]):
-        return _open_pairs([np.frombuffer(o, np.uint8) for o in odd], self.n, self.group, self.side, self.percent)
-
-    def open_stars(self) -> np.ndarray:
-        """Stars over what fine sketches leave open between components."""
-        linked = np.zeros((len(self.n), len(self.n)), bool)
-        for p, q in self._pairs(self.data):
-            linked[p, q] = linked[q, p] = True
-        leaf = np.flatnonzero(linked.any(axis=1))
-        root = leaf[_roots(linked[np.ix_(leaf, leaf)])]
-        return np.stack([self.doc[leaf], self.doc[root]], axis=1)[leaf != root]
+        return _open_pairs(odd, self.n, self.group, self.side, self.percent)
 
     def links(self) -> np.ndarray:
         """Links that join what is still apart; none is missing that joins more."""
@@ -470,114 +560,91 @@ class _Cell:
         return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _families(docs: DataFrame, info: DataFrame, edges: DataFrame, parts: DataFrame, percent: int, width: int, exact: bool) -> DataFrame:
-    """Links within families, a family being what ``edges`` connect; not exact: stars of what may be linked.
+def _families(docs: DataFrame, info: DataFrame, edges: DataFrame, parts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links within families, a family being what ``edges`` connect, verified exactly.
 
-    A family's sets, or their fine sketches, go to one task, once; a large family is cut
-    into cells of two parts of about CELL_TOKENS tokens and CELL_SETS sets, and a set goes
+    A family's sets go to one task, once; a large family is cut into cells of two parts of about CELL_TOKENS tokens and CELL_SETS sets, and a set goes
     to the cells of its part. A task compares what is in different components, joins them
     as it finds links, and returns the links that joined: no list of pairs is ever made.
     """
     each = info.groupBy(F.col("doc").alias("node")).agg(F.sum("n").alias("n"))
     family = stage(connected_components(edges).withColumnRenamed("component", "family").join(each, "node"), "families")
-    tokens = CELL_TOKENS if exact else CELL_TOKENS * FINE
-    cut = family.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / tokens, F.count(F.lit(1)) / CELL_SETS)).cast("long").alias("parts"))
+    cut = family.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / CELL_TOKENS, F.count(F.lit(1)) / CELL_SETS)).cast("long").alias("parts"))
     known = parts.withColumnRenamed("component", "known")
     salt = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("long").alias("salt")
     placed = family.join(cut, "family").join(known, "node", "left").select(F.col("node").alias("doc"), "family", F.coalesce("known", "node").alias("known"), salt, "parts")
-    sets = _read_sets(docs, placed, width, 0 if exact else FINE).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    sets = _read_sets(docs, placed, width).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     # With two parts and more, the cell of a part with itself is needed once, and each two parts' cell once.
     sets = sets.select("family", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "doc", "known", "salt", "n", "tokens")
     dealt = sets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches):
         for _, part in _groups(batches, 3):
-            cell = _Cell(part, percent)
-            found = cell.links() if exact else cell.open_stars()
+            found = _Cell(part, percent).links()
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, parts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links within what ``edges`` connect: families are parted by fine sketches, what is left is verified exactly."""
-    fine = stage(_families(docs, info, edges, parts, percent, width, False), "fine")
-    return _families(docs, info, fine, parts, percent, width, True)
-
-
 def _members(groups: DataFrame, info: DataFrame) -> DataFrame:
-    """Groups of class ids as rows (key, rep): the group and a class's document."""
+    """Groups of class ids (key, members) as rows (key, rep): the group and a class's document."""
 
     def spread(batches):
         for rows in batches:
-            for g in rows.column(0).to_pylist():
+            for key, g in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(g, np.int64)
-                key = np.full(len(ids), xxhash.xxh3_64_intdigest(g), np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], names=["key", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids)], names=["key", "cid"])
 
     members = groups.mapInArrow(spread, "key long, cid long")
     return members.join(info.select("cid", "doc"), "cid").select("key", F.col("doc").alias("rep")).distinct()
 
 
 def _across(members: DataFrame, info: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
-    """What sizes and parities leave open between different components of a group, as stars (a, b).
+    """What sizes and sketches leave open between different components of a group, as stars (a, b).
 
     Of a group's graph of open pairs each connected part is returned as a star, so its
     size is that of the group. Groups with the same smallest member mostly are one
-    family's; they go to one task, or by their number of rows to several, where an edge
-    is returned once.
+    family's; they go to one lane, or by their number of rows to several, and a group
+    larger than ``block`` to the lanes of its cells. A lane gets the sketch of each of
+    its members once and its groups as ids; it returns an edge once.
     """
     labelled = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("rep").alias("hub"), F.count(F.lit(1)).alias("rows")).where("x < y").drop("x", "y")
     sizes = stage(sizes, "groups")
     lanes = sizes.groupBy("hub").agg(F.ceil(F.sum("rows") / FAMILY).cast("int").alias("lanes"))
     lane = F.pmod(F.xxhash64("key"), F.col("lanes")).cast("long")
-    cut = F.ceil(F.col("rows") / block).cast("int")
-    mixed = sizes.join(lanes, "hub").select("key", F.xxhash64("hub", lane).alias("lane"), cut.alias("parts"))
-    rows = labelled.join(mixed, "key").join(info.select(F.col("doc").alias("rep"), "n", "odd"), "rep")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("lane", "key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "rep", "component", "n", "odd", "salt")
-    rows = rows.repartition("lane", "i", "j").sortWithinPartitions("lane", "key", "i", "j")
+    mixed = sizes.join(lanes, "hub").select("key", "hub", lane.alias("lane"), F.ceil(F.col("rows") / block).cast("int").alias("parts"))
+    rows = labelled.join(mixed, "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    i, j = F.least("salt", "other"), F.greatest("salt", "other")
+    rows = rows.select(F.xxhash64("hub", "lane", i, j).alias("lane"), "key", "rep", F.when(i != j, (F.col("salt") == j).cast("int")).alias("side"), "component")
+    rows = stage(rows, "group-rows")
+    known = rows.select("lane", "rep", "component").distinct().join(info.select(F.col("doc").alias("rep"), "n", "odd"), "rep")
+    none = F.lit(None)
+    dealt = rows.select("lane", "key", "rep", "side", none.cast("long").alias("component"), none.cast("long").alias("n"), none.cast("binary").alias("odd"))
+    dealt = dealt.unionByName(known.select("lane", none.cast("long").alias("key"), "rep", none.cast("int").alias("side"), "component", "n", "odd"))
+    dealt = dealt.repartition("lane").sortWithinPartitions("lane", "key")
 
     def compare(batches):
-        held: list[np.ndarray] = []
-        now = None
-
-        def flush():
+        for _, part in _groups(batches, 1):
+            mine = part.filter(part.column(1).is_null()).sort_by("rep")
+            asked = part.filter(part.column(1).is_valid())
+            reps, comp, n = (np.asarray(mine.column(c)) for c in (2, 4, 5))
+            sketches = _Sketches(mine.column(6).to_pylist())
+            key, at = np.asarray(asked.column(1)), np.searchsorted(reps, np.asarray(asked.column(2)))
+            side = np.asarray(asked.column(3).fill_null(-1))
+            ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
+            held = []
+            for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                m, sides = at[s:e], side[s:e] if side[s] >= 0 else None
+                leaf, root = _stars(_open_pairs(sketches, n[m], comp[m], sides, percent, m), len(m))
+                held.append(np.stack([reps[m[leaf]], reps[m[root]]], axis=1))
             pair = np.unique(np.concatenate(held), axis=0)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], names=["a", "b"])
-
-        for (lane, _, i, j), part in _groups(batches, 4):
-            if held and (lane != now or sum(map(len, held)) > FLUSH):
-                yield flush()
-            now = lane
-            reps, comp, n, salt = (np.asarray(part.column(c)) for c in (4, 5, 6, 8))
-            odd = [np.frombuffer(o, np.uint8) for o in part.column(7).to_pylist()]
-            size = min(map(len, odd))
-            odd = np.stack([_folded(o, size) for o in odd]).view(np.uint64)
-            open_to = np.zeros((len(reps), len(reps)), bool)
-            step = max(1, (1 << 20) // odd.size)
-            for x in range(0, len(reps), step):
-                w = slice(x, x + step)
-                near = (comp[w, None] != comp[None, :]) & (reps[w, None] > reps[None, :])
-                near &= 100 * np.minimum(n[w, None], n[None, :]) >= percent * np.maximum(n[w, None], n[None, :])
-                if i != j:
-                    near &= salt[w, None] != salt[None, :]
-                p, q = np.nonzero(near)
-                if len(p):
-                    apart = np.bitwise_count(odd[w][p] ^ odd[q]).sum(axis=-1, dtype=np.int64)
-                    keep = (100 + percent) * apart <= (100 - percent) * (n[w][p] + n[q])
-                    open_to[p[keep] + x, q[keep]] = True
-            if open_to.any():
-                root = _roots(open_to | open_to.T)
-                leaf = np.flatnonzero(root != np.arange(len(root)))
-                held.append(np.stack([reps[leaf], reps[root[leaf]]], axis=1))
-        if held:
-            yield flush()
+            pair = np.stack([pair.max(axis=1), pair.min(axis=1)], axis=1) if len(pair) else pair
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def _other_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -623,8 +690,10 @@ def components(
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary())], names=["tokens"])
 
     drawn = [np.frombuffer(b, np.uint64) for b in few.mapInArrow(sample, "tokens binary").toArrow()["tokens"].to_pylist()]
-    costs = segment_costs(drawn, percent, rows / max(1, len(drawn)))
-    met = stage(_meet(_index(docs.where("doc is not null"), Plan(percent, costs), deals, width), percent), "met")
+    scale = rows / max(1, len(drawn))
+    plan = tuned_plan(drawn, percent, scale)
+    deals = max(deals, math.ceil(scale * sum(len(plan.signatures(x)) for x in drawn) / DEAL_POSTINGS))
+    met = stage(_meet(_index(docs.where("doc is not null"), plan, deals, width), percent), "met")
     seen = met.where("cid is not null").select("doc", "n", "digest", "cid", "odd")
     # A class is known by its digest and stands for its documents by the smallest. Different sets under one
     # 64-bit id are different classes, so a clash of ids costs comparisons only.
@@ -637,10 +706,10 @@ def components(
         own = seen.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), "digest").join(info.select("digest", F.col("doc").alias("b")), "digest")
         links = stage(links.unionByName(own.select("a", "b").distinct()), "links")
     parts = connected_components(links)
-    members = stage(_members(met.where("members is not null").select("members").distinct(), info), "members")
+    members = stage(_members(met.where("members is not null").select("key", "members").distinct(), info), "members")
     pairs = stage(_other_parts(near, parts).unionByName(_across(members, info, parts, percent, block)).distinct(), "pairs")
     if not pairs.isEmpty():
-        links = links.unionByName(stage(_verified(docs, info, pairs, parts, percent, width), "links"))
+        links = links.unionByName(stage(_families(docs, info, pairs, parts, percent, width), "links"))
         parts = connected_components(links)
     by_class = info.join(parts, info["doc"] == parts["node"], "left").select("digest", F.coalesce("component", "doc").alias("lowest"))
     placed = seen.join(by_class, "digest", "left")

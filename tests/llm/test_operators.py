@@ -268,6 +268,33 @@ def test_pigeonhole_loses_no_pair(n, seed):
         assert np.intersect1d(plan.signatures(a), plan.signatures(b)).size
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(20, 400), st.integers(0, 10**6), st.floats(0, 1), st.integers(0, 60))
+def test_left_out_subsets_lose_no_pair(n, seed, share, slack):
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    sets = [np.delete(base, rng.choice(len(base), int(rng.integers(0, len(base) // 7 + 1)), replace=False)) for _ in range(6)]
+    band = ngram_join.band_of(len(base))
+    costs, skips = {}, {}
+    for k in (band - 1, band, band + 1):
+        plain = ngram_join.Scheme(k, 85, None, (1 + slack, np.empty(0, np.uint64)))
+        keys = np.unique(np.concatenate([plain.key(plain.split(x)[2], np.arange(plain.segments)) for x in sets]))
+        skips[k] = (1 + slack, keys[rng.random(len(keys)) < share])
+        costs[k] = (rng.random(plain.segments), rng.random(plain.segments) * 2)
+    plan = ngram_join.Plan(85, costs, skips)
+    for i, x in enumerate(sets):
+        for y in sets[:i]:
+            assert not ngram_join._reaches(x, y, 85) or np.intersect1d(plan.signatures(x), plan.signatures(y)).size
+
+
+def test_postings_come_back():
+    rng = np.random.default_rng(1)
+    sig, cid = rng.integers(0, 2**63, 70_000).astype(np.uint64), rng.integers(-(2**62), 2**62, 70_000)
+    for n, doc in ((9, np.arange(9) % 4), (70_000, np.arange(70_000))):
+        s, c = ngram_join._unblock(ngram_join._block(sig[:n], doc, cid))
+        assert sorted(zip(s.tolist(), c.tolist())) == sorted(zip((sig[:n] & ngram_join._LOW).tolist(), cid[doc].tolist()))
+
+
 def test_fine_sketches_lose_no_pair():
     rng = np.random.default_rng(9)
     sets = []
