@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("sort")
     s.add_argument("input")
     s.add_argument("output")
-    s.add_argument("--temp-dir", default="./tmp-sort")
+    s.add_argument("--temp-dir")
     s.add_argument("--chunk-size-mb", type=int, default=512)
     s.add_argument("--invalid-mode", choices=[m.value for m in InvalidMode], default="strict")
     s.add_argument("--invalid-log")
@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--block-reader", action=argparse.BooleanOptionalAction, default=True)
     s.add_argument("--overwrite-output", action=argparse.BooleanOptionalAction, default=True)
     s.add_argument("--max-text-bytes", type=int)
+    s.add_argument("--output-folder", action="store_true", help="leave the ordered parts as they are, without copying them to one file")
     g = sub.add_parser("generate")
     g.add_argument("output")
     g.add_argument("size_mb", type=int)
@@ -54,7 +55,7 @@ def main(args: list[str] | None = None) -> int:
             print(generate(spark, GeneratorOptions(a.output, a.size_mb, a.distinct, a.seed)), "rows")
             return 0
         policy = TempPolicy.KEEP_ALL if a.keep_temp else TempPolicy.DELETE_ALWAYS if a.delete_temp_on_failure else TempPolicy.DELETE_ON_SUCCESS
-        options = SortOptions(a.input, a.output, a.temp_dir, InvalidMode(a.invalid_mode), a.invalid_log, a.metrics_path, LineMode.LF if a.block_reader else LineMode.UNIVERSAL, policy, a.overwrite_output, a.resume, a.delete_input_after_split, a.max_text_bytes, a.chunk_size_mb)
+        options = SortOptions(a.input, a.output, a.temp_dir, InvalidMode(a.invalid_mode), a.invalid_log, a.metrics_path, LineMode.LF if a.block_reader else LineMode.UNIVERSAL, policy, a.overwrite_output, a.resume, a.delete_input_after_split, a.max_text_bytes, a.chunk_size_mb, not a.output_folder)
         metrics = run_sort(spark, options)
         print(f"{metrics['ValidLines']} records, {human_bytes(metrics['OutputBytesWritten'])} written")
         return 0

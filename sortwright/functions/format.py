@@ -1,4 +1,4 @@
-"""Human-readable sizes and rates."""
+"""Human-readable sizes."""
 
 from __future__ import annotations
 
@@ -9,7 +9,3 @@ def human_bytes(n: float) -> str:
             return f"{n:.0f} {unit}" if unit == "B" else f"{n:.2f} {unit}"
         n /= 1024
     raise AssertionError
-
-
-def human_rate(n: float, seconds: float) -> str:
-    return f"{human_bytes(n / seconds if seconds > 0 else 0)}/s"

@@ -41,5 +41,10 @@ def encoded_size(text: Column) -> Column:
     return (F.octet_length(text) + 10).cast("long")
 
 
+def memory_estimate(text: Column) -> Column:
+    """Bytes that a record is reckoned to take in memory: a diagnostic only."""
+    return (F.octet_length(text) + 96).cast("long")
+
+
 def line_bytes(line: Column) -> Column:
     return (F.octet_length(line) + 1).cast("long")

@@ -37,7 +37,7 @@ class TempPolicy(enum.Enum):
 class SortOptions:
     input_path: str
     output_path: str
-    temp_dir: str = "./tmp-sort"
+    temp_dir: str | None = None
     invalid_mode: InvalidMode = InvalidMode.STRICT
     invalid_log: str | None = None
     metrics_path: str | None = None
@@ -48,6 +48,7 @@ class SortOptions:
     delete_input: bool = False
     max_text_bytes: int | None = None
     chunk_size_mb: int = 512
+    single_file: bool = True
 
     def validate(self) -> None:
         if not self.input_path or not self.output_path:

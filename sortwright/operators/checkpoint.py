@@ -8,7 +8,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import SortOptions
-from .publish import fs_of
+from .publish import fs_of, replace, write_text
+
+
+def shape(options: SortOptions) -> list:
+    """What shapes the records of an ingest, besides the input's files."""
+    return [options.invalid_mode.value, options.line_mode.value, options.max_text_bytes]
 
 
 def fingerprint(spark: SparkSession, options: SortOptions) -> str:
@@ -23,8 +28,7 @@ def fingerprint(spark: SparkSession, options: SortOptions) -> str:
             files.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
     if not files:
         raise FileNotFoundError(options.input_path)
-    shape = [sorted(files), options.invalid_mode.value, options.line_mode.value, options.max_text_bytes]
-    return hashlib.sha256(json.dumps(shape).encode()).hexdigest()
+    return hashlib.sha256(json.dumps([sorted(files), *shape(options)]).encode()).hexdigest()
 
 
 def _manifest(spark: SparkSession, root: str) -> dict | None:
@@ -39,13 +43,8 @@ def _manifest(spark: SparkSession, root: str) -> dict | None:
 
 def save(spark: SparkSession, root: str, state: dict) -> None:
     """Write the manifest beside its place and rename it, so it is whole or absent."""
-    fs, path = fs_of(spark, f"{root}/manifest.json")
-    tmp = fs_of(spark, f"{root}/manifest.json.tmp")[1]
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(state, indent=2).encode()))
-    out.close()
-    fs.delete(path, False)
-    fs.rename(tmp, path)
+    write_text(spark, f"{root}/manifest.json.tmp", json.dumps(state, indent=2))
+    replace(spark, f"{root}/manifest.json.tmp", f"{root}/manifest.json")
 
 
 def load(spark: SparkSession, root: str, key: str | None) -> tuple[DataFrame, dict] | None:

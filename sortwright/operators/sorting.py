@@ -4,54 +4,49 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that the ranges of positions are cut by, and rows a range is meant to hold.
-BOUNDARY_SAMPLE = 20_000
-RANGE_ROWS = 1 << 20
+from ..staging import stage
+
+#: Rows of a partition have consecutive ids below this, by the definition of monotonically_increasing_id.
+_SPAN = 1 << 33
+
+
+def _tied(records: DataFrame) -> DataFrame:
+    """Equal records get different ties, so that a record which fills many partitions splits."""
+    return records.withColumn("__tie", F.monotonically_increasing_id())
 
 
 def sort_records(records: DataFrame) -> DataFrame:
-    """One range exchange and a spilling sort; ranges are cut by text and number, so a hot text splits."""
-    return records.orderBy("text", "number")
+    """One range exchange and a spilling sort; ranges are cut by text, number and place, so hot records split."""
+    return _tied(records).orderBy("text", "number", "__tie").drop("__tie")
 
 
-def with_position(records: DataFrame, rows: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_position(records: DataFrame) -> DataFrame:
     """Append ``pos``, each record's 1-based place in the order.
 
-    Records are cut into ranges by boundaries from a bounded sample; positions are
-    ranks within a range plus the rows of the ranges before, so no task sees more
-    than a range. Equal records have consecutive places.
+    A range exchange and a sort within partitions, numbered there and written once;
+    then each partition's rows are counted, and the counts before it are its base. What
+    reaches the driver is a row a partition. Equal records have consecutive places.
     """
-    rows = records.count() if rows is None else rows
-    ranges = max(1, min(1024, -(-rows // range_rows)))
-    cuts = _boundaries(records, rows, ranges) if ranges > 1 else []
-    key = F.struct("text", "number")
-    part = F.size(F.filter(F.array(*cuts), lambda c: c <= key)) if cuts else F.lit(0)
-    placed = records.withColumn("__range", part.cast("int"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy("text", "number"))
-    ranked = placed.withColumn("__rank", rank.cast("long"))
-    if not cuts:
-        return ranked.withColumn("pos", F.col("__rank")).drop("__range", "__rank")
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    bases = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    # At most 1024 ranges.
-    return ranked.join(F.broadcast(bases), "__range").withColumn("pos", F.col("__rank") + F.col("__base")).drop("__range", "__rank", "__n", "__base")
-
-
-def _boundaries(records: DataFrame, rows: int, ranges: int) -> list[Column]:
-    share = int((1 << 30) * min(1.0, BOUNDARY_SAMPLE / max(1, rows)))
-    drawn = records.where(F.pmod(F.xxhash64("text", "number"), F.lit(1 << 30)) < share).select("text", "number").distinct()
-    sample = sorted((r["text"].encode(), r["number"], r["text"]) for r in drawn.collect())
-    picks = sorted({i * len(sample) // ranges for i in range(1, ranges)})
-    return [F.struct(F.lit(sample[i][2]).alias("text"), F.lit(str(sample[i][1])).cast("decimal(20,0)").alias("number")) for i in picks if i < len(sample)]
+    dealt = _tied(records).repartitionByRange("text", "number", "__tie").sortWithinPartitions("text", "number", "__tie")
+    ordered = stage(dealt.drop("__tie").withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__id", 33).cast("int")
+    counted = ordered.groupBy(part.alias("__part")).agg(F.max(F.col("__id") % _SPAN + 1).alias("n")).collect()
+    base, bases = 0, []
+    for row in sorted(counted):
+        bases.append((row["__part"], base))
+        base += row["n"]
+    totals = records.sparkSession.createDataFrame(bases, "__part int, __base long")
+    # A row a partition.
+    placed = ordered.withColumn("__part", part).join(F.broadcast(totals), "__part")
+    return placed.withColumn("pos", F.col("__id") % _SPAN + 1 + F.col("__base")).drop("__part", "__id", "__base")
 
 
 def head(records: DataFrame, n: int = 5) -> DataFrame:
     """The first n records in order."""
-    return sort_records(records).limit(n)
+    return records.orderBy("text", "number").limit(n)
 
 
 def tail(records: DataFrame, n: int = 5) -> DataFrame:
@@ -59,6 +54,11 @@ def tail(records: DataFrame, n: int = 5) -> DataFrame:
     return sort_records(records.orderBy(F.desc("text"), F.desc("number")).limit(n))
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Parts as one bag; duplicates stay."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 def merge_sorted(parts: list[DataFrame]) -> DataFrame:
-    """Parts as one ordered bag; duplicates stay."""
-    return sort_records(reduce(DataFrame.unionByName, parts))
+    """Parts as one ordered bag."""
+    return sort_records(union_all(parts))

@@ -1,5 +1,7 @@
 """Parser, order, modes, publishing, resume and the named queries against their SQL."""
 
+import dataclasses
+import json
 import os
 import sys
 
@@ -16,7 +18,7 @@ from sortwright.operators.sorting import with_position
 from sortwright.plans.catalogue import ORACLES, QUERIES
 from sortwright.sources import runs
 from sortwright.sources.generate import generate, records
-from sortwright.sources.lines import read_lines
+from sortwright.sources.lines import numbered_lines, read_lines
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -41,8 +43,7 @@ def test_order_is_bytewise(spark):
     df = spark.createDataFrame([(t, n) for n in (999, 1) for t in reversed(texts)], "text string, number long").select("text", F.col("number").cast("decimal(20,0)").alias("number"))
     got = [(r["text"], int(r["number"])) for r in with_position(df).orderBy("pos").collect()]
     assert got == [(t, n) for t in texts for n in (1, 999)]
-    many = with_position(records(spark, 5000, 50), range_rows=300)
-    rows = many.orderBy("pos").collect()
+    rows = with_position(records(spark, 5000, 50)).orderBy("pos").collect()
     assert [r["pos"] for r in rows] == list(range(1, 5001))
     assert rows == sorted(rows, key=lambda r: (r["text"].encode(), r["number"]))
 
@@ -64,6 +65,22 @@ def test_lines(spark, tmp_path):
     assert read_lines(spark, str(p), LineMode.UNIVERSAL).count() > 6
 
 
+def test_every_line_once_whatever_the_splits(spark, tmp_path):
+    lines = [f"{i}. {'é' * (i % 23)}{'x' * (i * 7 % 300)}" for i in range(3000)]
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for k, (sep, mode) in enumerate([("\n", LineMode.LF), ("\r\n", LineMode.LF), ("\r\n", LineMode.UNIVERSAL), ("\n", LineMode.UNIVERSAL)]):
+        path = tmp_path / f"{k}.txt"
+        path.write_bytes(sep.join(lines).encode())
+        try:
+            spark.conf.set(name, "1009")
+            read = read_lines(spark, str(path), mode)
+            assert read.rdd.getNumPartitions() > 100
+            assert sorted(r["line"] for r in read.collect()) == sorted(lines)
+            assert [r["line"] for r in numbered_lines(spark, str(path), mode).orderBy("pos").collect()] == lines
+        finally:
+            spark.conf.set(name, before)
+
+
 GOLDEN = ["1. Apple", "415. Apple", "2. Banana is yellow", "32. Cherry is the best", "30432. Something something something"]
 
 
@@ -94,6 +111,59 @@ def test_strict_failure_is_not_resumed(spark, tmp_path):
         assert not (tmp_path / "out.txt").exists()
 
 
+def test_failures_tell_and_leave_nothing(spark, tmp_path):
+    (tmp_path / "out.txt").write_text("old")
+    options = _job(tmp_path, ["1. a", "bad", "2. b", "worse"], metrics_path=str(tmp_path / "m.json"))
+    with pytest.raises(ValueError, match="2 invalid lines, such as: bad"):
+        run_sort(spark, options)
+    told = json.loads((tmp_path / "m.json").read_text())
+    assert (told["ValidLines"], told["InvalidLines"], told["OutputBytesWritten"], told["PeakManagedMemoryBytes"]) == (2, 2, None, None)
+    assert (tmp_path / "out.txt").read_text() == "old" and not (tmp_path / "out.txt.tmp").exists()
+    (tmp_path / "m.json").unlink()
+    with pytest.raises(FileNotFoundError):
+        run_sort(spark, dataclasses.replace(options, input_path=str(tmp_path / "none")))
+    with pytest.raises(FileExistsError):
+        run_sort(spark, dataclasses.replace(options, overwrite_output=False))
+    assert not (tmp_path / "m.json").exists()  # both are refused before any work
+
+
+def test_a_gone_input_resumes_only_with_the_same_options(spark, tmp_path):
+    lines = ["2. b", "bad", "1. a"]
+    options = _job(tmp_path, lines, temp_policy=TempPolicy.KEEP_ALL, delete_input=True, invalid_mode=InvalidMode.SKIP)
+    run_sort(spark, options)
+    with pytest.raises(FileNotFoundError):
+        run_sort(spark, dataclasses.replace(options, invalid_mode=InvalidMode.STRICT))
+    run_sort(spark, options)
+    assert (tmp_path / "out.txt").read_text() == "1. a\n2. b\n"
+
+
+def test_sort_of_many_parts(spark, tmp_path):
+    """Hot texts, repeated records, a third of all lines one record: parts follow each other in order."""
+    made = records(spark, 160_000, 40, 3)
+    hot = spark.range(80_000).select(F.lit("7. the same").alias("value"))
+    path, out = str(tmp_path / "in"), tmp_path / "out.txt"
+    made.select(F.concat(F.col("number").cast("string"), F.lit(". "), F.col("text")).alias("value")).unionByName(hot).write.text(path)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        run_sort(spark, SortOptions(path, str(tmp_path / "parts"), str(tmp_path / "tmp"), chunk_size_mb=1, single_file=False))
+        run_sort(spark, SortOptions(path, str(out), str(tmp_path / "tmp"), chunk_size_mb=1))
+        ranked = with_position(parse(read_lines(spark, path)).select("number", "text"))
+        assert "SinglePartition" not in ranked._jdf.queryExecution().toString()
+        assert ranked.agg(F.count_distinct("pos"), F.min("pos"), F.max("pos")).first()[:] == (240_000, 1, 240_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    lines = [x for f in sorted((tmp_path / "in").glob("part-*")) for x in f.read_text().splitlines()]
+    want = sorted(lines, key=lambda x: (x.split(". ", 1)[1].encode(), int(x.split(".", 1)[0])))
+    parts = [f.read_text().splitlines() for f in sorted((tmp_path / "parts").glob("part-*"))]
+    assert len(want) == 240_000 and len(parts) >= 8 and max(map(len, parts)) < 80_000
+    assert [x for p in parts for x in p] == want and out.read_text().splitlines() == want
+
+
 def test_log_mode_keeps_input_order(spark, tmp_path):
     metrics = run_sort(spark, _job(tmp_path, ["z", "2. b", "y", "1. b", "x"], invalid_mode=InvalidMode.LOG, invalid_log=str(tmp_path / "bad")))
     assert (metrics["ValidLines"], metrics["InvalidLines"]) == (2, 3)
@@ -125,6 +195,19 @@ def test_read_runs(spark, tmp_path):
     assert sorted((int(r["number"]), r["text"]) for r in runs.read_runs(spark, str(tmp_path)).collect()) == [(1, "a"), (2**64 - 1, "b")]
 
 
+def test_write_runs(spark, tmp_path):
+    made = records(spark, 4000, 30).repartition(3)
+    assert runs.write_runs(made, str(tmp_path / "runs")) == 3
+    files = sorted((tmp_path / "runs").glob("*.bin"))
+    files[0].rename(files[0].with_suffix(".BIN"))
+    (tmp_path / "runs" / "other.txt").write_text("no run")
+    for f in (tmp_path / "runs").glob("*.[bB]*"):
+        own = list(runs.read_run(f.read_bytes()))
+        assert own == sorted(own, key=lambda r: (r[1].encode(), r[0]))
+    back = runs.read_runs(spark, str(tmp_path / "runs"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, made.select("number", "text").collect()))
+
+
 def test_generator(spark, tmp_path):
     n = generate(spark, GeneratorOptions(str(tmp_path / "g"), 1, 100))
     lines = parse(read_lines(spark, str(tmp_path / "g")))
@@ -134,6 +217,9 @@ def test_generator(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path):
+    assert cli.main(["generate", str(tmp_path / "g"), "1", "50"]) == 0
+    assert cli.main(["sort", str(tmp_path / "g"), str(tmp_path / "s.txt"), "--temp-dir", str(tmp_path / "t"), "--metrics-path", str(tmp_path / "m.json")]) == 0
+    assert json.loads((tmp_path / "m.json").read_text())["ValidLines"] == len((tmp_path / "s.txt").read_text().splitlines())
     assert cli.main([]) == 0 and cli.main(["sort"]) == 1
     assert cli.main(["sort", str(tmp_path / "none"), str(tmp_path / "out")]) == 2
 
