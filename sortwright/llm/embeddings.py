@@ -2,18 +2,22 @@
 
 Equal vectors form a class first. Each class's vector is rotated by sign flips and
 fast Hadamard transforms; the nearest signed axis is its hash, and several hashes
-make the key of a bucket. A vector enters, in every table, its own bucket and those
-of its next best axes, so near vectors meet in some bucket almost surely.
-
-Buckets are looked at twice. First with 64 sign bits a member: a member stays only
-if another member of the bucket is close by bits. What stays is joined to its vector
-and compared exactly, in double precision, in blocks of fixed size. A pair counts in
-the smallest bucket key that both share, so links are counted once without ever
-being written as pairs; a block returns each member's number of links and a star of
-edges for the components.
-
-A bucket larger than a block is cut into cells (pairs of salted parts), so no task
-ever holds more than two blocks, whatever share of the rows one bucket has.
+make the key of a bucket. In every table a vector is at home in its own bucket and
+visits those of its next best axes; a pair meets where one is at home. The number of
+hashes follows from the rows; tables and probes follow from it, by simulated pairs at
+the threshold, so that a pair meets with probability ``RECALL`` at any number of rows.
+
+A pair counts in the first bucket in which it meets: a member of a bucket carries its
+keys of the tables up to that one, so each pair is known there as first met or not.
+Buckets are looked at twice. First with 128 sign bits a member: a member stays only if
+a pair that it first meets there is close by bits. What stays, about one bucket a link,
+is joined to its vector and compared exactly, in double precision. Links are counted
+without ever being written as pairs; a cell returns each member's number of links and a
+star of edges for the components.
+
+A bucket larger than a block is cut into cells (pairs of salted parts, one of them of
+vectors at home), so no task ever holds more than two blocks, whatever share of the
+rows one bucket has.
 """
 
 from __future__ import annotations
@@ -31,12 +35,18 @@ from .arrow import arrow_schema, slices
 from .graph import connected_components
 from .staging import stage
 
-TABLES = 8
-PROBES = 6
-#: Vectors a bucket, on average, from which keys get another hash.
-PER_BUCKET = 16
+#: Probability that a pair at the threshold meets in some bucket.
+RECALL = 0.98
+#: Numbers of buckets a table, its own included, that a vector may enter.
+PROBES = (1, 2, 4, 8, 16, 32)
+#: Pairs, and tables, that the probability of meeting in a table is estimated on.
+TRIAL_PAIRS = 1000
+TRIAL_TABLES = 4
+#: Vectors a bucket, on average, from which keys get another hash: sign bits tell them apart fast, while each hash multiplies the tables.
+PER_BUCKET = 1024
+MOST_HASHES = 8
 BLOCK = 1024
-BITS = 64
+BITS = 128
 
 
 def padded(dim: int) -> int:
@@ -72,55 +82,96 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def bucket_keys(u: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
-    """Keys of the buckets each unit row enters: rows x tables x probes, best first."""
+def bucket_keys(u: np.ndarray, hashes: int, tables: int, probes: int, seed: int = 0) -> np.ndarray:
+    """Buckets (32 bits) that each unit row enters: rows x tables x probes, the one it is at home in first."""
     n, dim = u.shape
     wide = np.pad(u, ((0, 0), (0, padded(dim) - dim)))
-    near = min(4, wide.shape[1])
-    out = np.empty((n, tables, probes), np.int64)
+    near = min(max(2, probes), wide.shape[1])
+    out = np.empty((n, tables, probes), np.uint64)
     for t in range(tables):
-        key, loss = np.zeros((n, 1), np.int64), np.zeros((n, 1))
+        key, loss = np.zeros((n, 1), np.uint64), np.zeros((n, 1))
         for j in range(hashes):
-            r = rotate(wide, 1 + t * 64 + j)
+            r = rotate(wide, 1 + (seed + t) * 64 + j)
             a = np.abs(r)
             top = np.argsort(-a, axis=1, kind="stable")[:, :near]
             v = np.take_along_axis(a, top, 1)
-            axis = 2 * top + (np.take_along_axis(r, top, 1) > 0)
-            key = (key[:, :, None] * (2 * wide.shape[1]) + axis[:, None, :]).reshape(n, -1)
+            axis = (2 * top + (np.take_along_axis(r, top, 1) > 0)).astype(np.uint64)
+            key = (key[:, :, None] * np.uint64(2 * wide.shape[1]) + axis[:, None, :]).reshape(n, -1)
             loss = (loss[:, :, None] + (v[:, :1] - v)[:, None, :] ** 2).reshape(n, -1)
-            best = np.argsort(loss, axis=1, kind="stable")[:, : max(probes, near)]
+            best = np.argsort(loss, axis=1, kind="stable")[:, :near]
             key, loss = np.take_along_axis(key, best, 1), np.take_along_axis(loss, best, 1)
         have = key.shape[1]
         out[:, t] = key[:, [min(i, have - 1) for i in range(probes)]]
-    mixed = (out.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    # The table's number leads, so that keys of earlier tables are smaller.
-    return ((mixed >> np.uint64(8)) | (np.arange(tables, dtype=np.uint64)[None, :, None] << np.uint64(56))).astype(np.int64)
+    mixed = (out + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(32)).astype(np.uint32)
+
+
+def meeting(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For rows of pairs and each table: whether one is at home in a bucket that the other enters."""
+    return (keys[:, :, :1] == others).any(axis=2) | (others[:, :, :1] == keys).any(axis=2)
+
+
+def pairs_at(cosine: float, dim: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors with that cosine."""
+    rng = np.random.default_rng([seed, dim])
+    x = unit(rng.normal(size=(n, dim)))
+    y = rng.normal(size=(n, dim))
+    y = unit(y - (x * y).sum(axis=1, keepdims=True) * x) if dim > 1 else y * 0
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * y
+
+
+@lru_cache(maxsize=64)
+def tables_and_probes(dim: int, hashes: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """The fewest buckets a vector, as tables and probes, by which pairs at the threshold meet with that probability."""
+    x, y = pairs_at(threshold, dim, TRIAL_PAIRS, 1)
+    most = bucket_keys(x, hashes, TRIAL_TABLES, PROBES[-1], 1000), bucket_keys(y, hashes, TRIAL_TABLES, PROBES[-1], 1000)
+    found = []
+    for probes in PROBES:
+        # Two standard errors less than what was seen.
+        n = TRIAL_PAIRS * TRIAL_TABLES
+        p = float(meeting(most[0][:, :, :probes], most[1][:, :, :probes]).mean())
+        p = min(p - 2 * math.sqrt(p * (1 - p) / n), 1 - 1 / n)
+        if p > 0:
+            tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+            found.append((tables * probes, tables, probes))
+    cost, tables, probes = min(f for f in found if f[1] < 256)
+    return tables, probes
 
 
 def sign_bits(u: np.ndarray) -> np.ndarray:
+    """Signs of rotated rows as 64-bit words, as many rotations as fill BITS."""
     wide = np.pad(u, ((0, 0), (0, padded(u.shape[1]) - u.shape[1])))
-    r = rotate(wide, 0)[:, :BITS] > 0
-    r = np.pad(r, ((0, 0), (0, BITS - r.shape[1])))
-    return np.packbits(r, axis=1).view(np.int64)[:, 0]
+    turns = -(-BITS // wide.shape[1])
+    r = np.concatenate([rotate(wide, (1 << 20) + k) for k in range(turns)], axis=1)[:, :BITS] > 0
+    return np.packbits(r, axis=1).view(np.uint64)
 
 
-def bit_limit(dim: int, threshold: float) -> int:
+def bit_limit(threshold: float) -> int:
     """Sign bits in which vectors at the threshold differ at most, but for a chance below 1 in 100,000."""
-    n, p = min(BITS, padded(dim)), math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    return min(n, math.ceil(n * p + 4.5 * math.sqrt(n * p * (1 - p))))
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return min(BITS, math.ceil(BITS * p + 4.5 * math.sqrt(BITS * p * (1 - p))))
 
 
 def hash_count(rows: int, dim: int) -> int:
-    """Hashes a key: enough for about PER_BUCKET vectors a bucket were they spread evenly."""
-    return max(1, min(6, math.ceil(math.log(max(2, rows / PER_BUCKET)) / math.log(2 * padded(dim)))))
+    """Hashes a key: enough for at most about PER_BUCKET vectors a bucket were they spread evenly."""
+    return max(1, min(MOST_HASHES, math.ceil(math.log(max(2, rows / PER_BUCKET)) / math.log(2 * padded(dim)))))
 
 
-def _usable(values: list | None) -> bytes | None:
+def _usable(values: list | None) -> tuple[bytes, bytes] | None:
+    """A vector's digest and bytes: of 32-bit floats where these hold it exactly."""
     if not values or any(x is None for x in values):
         return None
-    v = np.array(values, float)
-    return v.astype("<f8").tobytes() if np.isfinite(v).all() and v.any() else None
+    v = np.array(values, float) + 0.0  # no negative zeros
+    if not np.isfinite(v).all() or not v.any():
+        return None
+    with np.errstate(over="ignore"):
+        short = v.astype("<f4")
+    return xxhash.xxh3_128_digest(v.astype("<f8").tobytes()), (short if (short == v).all() else v.astype("<f8")).tobytes()
+
+
+def _vectors(raw: list[bytes], dim: int) -> np.ndarray:
+    return unit(np.stack([np.frombuffer(b, "<f4" if len(b) == 4 * dim else "<f8") for b in raw]).astype(float))
 
 
 def _groups(batches, keys: int):
@@ -144,16 +195,45 @@ def _groups(batches, keys: int):
 
 
 def _cells(members: DataFrame, block: int) -> DataFrame:
-    """Deal bucket members (key, rep, ...) to cells of two parts of at most about ``block`` members."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / block).cast("int")
-    dealt = members.join(sizes, "key").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = dealt.select(*[c for c in dealt.columns if c not in ("parts", "size")], other)
-    dealt = dealt.withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other")).drop("other")
+    """Deal bucket members (key, rep, own, ...) to cells (key, i, j) of at most about two blocks.
+
+    A bucket of a block or less is one cell. Of a larger one, vectors at home and
+    visitors are cut into parts; every two parts of which one is at home share a cell.
+    """
+    sizes = members.groupBy("key").agg(F.count_if("own").alias("owners"), F.count(F.lit(1)).alias("size")).where("owners > 0 and size > 1")
+    dealt = members.join(sizes, "key")
+    whole, drawn = F.col("size") <= block, F.xxhash64("rep")
+    homes = F.when(whole, 1).otherwise(F.ceil(F.col("owners") / block)).cast("int")
+    guests = F.when(whole, 0).otherwise(F.ceil((F.col("size") - F.col("owners")) / block)).cast("int")
+    dealt = dealt.withColumn("homes", homes).withColumn("guests", guests)
+    guest = F.when(whole, 0).otherwise(F.col("homes") + F.pmod(drawn, F.greatest("guests", F.lit(1))))
+    dealt = dealt.withColumn("salt", F.when(F.col("own"), F.pmod(drawn, F.col("homes"))).otherwise(guest).cast("int"))
+    last = F.when(F.col("own"), F.col("homes") + F.col("guests")).otherwise(F.col("homes")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other"))
+    dealt = dealt.drop("owners", "size", "homes", "guests", "other")
     return dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
 
 
+def _first_met(near: np.ndarray, own: np.ndarray, salt: np.ndarray, key: int, across: bool) -> np.ndarray:
+    """Pairs of a cell that first meet in its bucket; ``near``: members x tables up to this one x probes."""
+    new = own[:, None] | own[None, :]
+    np.fill_diagonal(new, False)
+    if across:
+        new &= salt[:, None] != salt[None, :]
+    here = np.uint32(key & 0xFFFFFFFF)
+    for t in range(near.shape[1]):
+        if not new.any():
+            break
+        home, last = near[:, t, 0], t == near.shape[1] - 1
+        visits = np.zeros_like(new)  # a row enters the home of a column
+        for p in range(near.shape[2]):
+            visits |= near[:, t, p, None] == home[None, :]
+        if last:
+            visits &= (home < here)[None, :]
+        new &= ~(visits | visits.T)
+    return new
+
+
 def _roots(linked: np.ndarray) -> np.ndarray:
     """The smallest index that each row reaches in a symmetric boolean matrix."""
     root = np.full(len(linked), -1)
@@ -186,79 +266,80 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     def read(batches):
         schema = arrow_schema([("k", pa.int64()), ("digest", pa.binary()), ("dim", pa.int32()), ("v", pa.binary())])
         for rows in slices(batches):
-            raw = [_usable(v) for v in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([r and xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array([r and len(r) // 8 for r in raw], pa.int32()), pa.array(raw, pa.binary())], schema=schema)
+            values = rows.column(1).to_pylist()
+            raw = [_usable(v) for v in values]
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([r and r[0] for r in raw], pa.binary()), pa.array([r and len(v) for r, v in zip(raw, values, strict=True)], pa.int32()), pa.array([r and r[1] for r in raw], pa.binary())], schema=schema)
 
     seen = src.mapInArrow(read, "k long, digest binary, dim int, v binary")
     rows = stage(seen.withColumn("v", F.when(F.col("k").isNotNull(), F.col("v"))), "vectors")
     usable = rows.where("v is not null")
     classes = stage(usable.groupBy("digest").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v")), "classes")
-    shape = {r["dim"]: hash_count(r["n"], r["dim"]) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shape = {}
+    for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
+        hashes = hash_count(r["n"], r["dim"])
+        shape[r["dim"]] = (hashes, *tables_and_probes(r["dim"], hashes, threshold))
 
     def by_dim(part, dim_at, v_at):
         dims = np.asarray(part.column(dim_at))
         for d in np.unique(dims).tolist():
             at = np.flatnonzero(dims == d)
-            raw = part.column(v_at).take(pa.array(at)).to_pylist()
-            yield d, at, unit(np.frombuffer(b"".join(raw), "<f8").reshape(len(at), d))
+            yield d, at, _vectors(part.column(v_at).take(pa.array(at)).to_pylist(), d)
 
     def enter(batches):
-        schema = arrow_schema([("key", pa.int64()), ("dim", pa.int32()), ("rep", pa.int64()), ("bits", pa.int64())])
+        schema = arrow_schema([("key", pa.int64()), ("rep", pa.int64()), ("own", pa.bool_()), ("near", pa.binary()), ("bits", pa.binary())])
         for part in slices(batches):
             reps = np.asarray(part.column(0))
             for d, at, u in by_dim(part, 1, 2):
-                keys = bucket_keys(u, shape[d])
-                keys = np.sort(keys.reshape(len(at), -1), axis=1)
-                new = np.concatenate([np.ones((len(at), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
-                row = np.broadcast_to(np.arange(len(at))[:, None], keys.shape)[new]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[new] ^ (d << 40)), pa.array(np.full(len(row), d, np.int32)), pa.array(reps[at][row]), pa.array(sign_bits(u)[row])], schema=schema)
+                keys, bits = bucket_keys(u, *shape[d]), sign_bits(u)
+                words = [b.tobytes() for b in bits]
+                for t in range(keys.shape[1]):
+                    # A bucket that a vector enters more than once, it enters first by the better probe.
+                    new = np.stack([~(keys[:, t, :p] == keys[:, t, p, None]).any(axis=1) for p in range(keys.shape[2])], axis=1)
+                    row, p = np.nonzero(new)
+                    near = [k.tobytes() for k in np.ascontiguousarray(keys[:, : t + 1])]
+                    key = keys[row, t, p].astype(np.int64) | (t << 32) | (d << 40)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(reps[at][row]), pa.array(p == 0), pa.array([near[i] for i in row.tolist()], pa.binary()), pa.array([words[i] for i in row.tolist()], pa.binary())], schema=schema)
+
+    def first_met(key, i, j, part, own_at, near_at, salt_at):
+        """The pairs of a cell that first meet in its bucket."""
+        own, salt = (np.asarray(part.column(c)) for c in (own_at, salt_at))
+        near = np.frombuffer(b"".join(part.column(near_at).to_pylist()), np.uint32)
+        return _first_met(near.reshape(len(own), (key >> 32 & 255) + 1, -1), own, salt, key, i != j)
 
     def close(batches):
-        schema = arrow_schema([("key", pa.int64()), ("rep", pa.int64())])
+        schema = arrow_schema([("key", pa.int64()), ("rep", pa.int64()), ("own", pa.bool_()), ("near", pa.binary())])
         for (key, i, j), part in _groups(batches, 3):
-            dim, bits, reps, salt = (np.asarray(part.column(c)) for c in (3, 5, 4, 6))
-            bits = bits.view(np.uint64)  # the count of a signed integer is that of its absolute value
-            near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= bit_limit(int(dim[0]), threshold)
+            bits = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint64).reshape(part.num_rows, -1)
+            apart = np.zeros((len(bits), len(bits)), np.uint8)
+            for w in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[:, w, None] ^ bits[None, :, w])
+            near = apart <= bit_limit(threshold)
             np.fill_diagonal(near, False)
-            if i != j:
-                near &= salt[:, None] != salt[None, :]
-            stay = near.any(axis=1)
+            some = np.flatnonzero(near.any(axis=1))
+            if not len(some):
+                continue
+            part = part.take(pa.array(some))
+            stay = (near[np.ix_(some, some)] & first_met(key, i, j, part, 4, 5, 7)).any(axis=1)
             if stay.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(stay.sum()), key)), pa.array(reps[stay])], schema=schema)
+                part = part.filter(pa.array(stay))
+                yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks() for c in (0, 3, 4, 5)], schema=schema)
 
     def verify(batches):
         schema = arrow_schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
         for (key, i, j), part in _groups(batches, 3):
-            salt, reps, copies = (np.asarray(part.column(c)) for c in (7, 3, 4))
-            for d, at, u in by_dim(part, 5, 6):
-                linked = u @ u.T >= threshold
-                np.fill_diagonal(linked, False)
-                if i != j:
-                    linked &= salt[at][:, None] != salt[at][None, :]
-                a, b = np.nonzero(np.triu(linked))
-                keys = bucket_keys(u, shape[d]) ^ (d << 40)
-                own = int(np.uint64(key ^ (d << 40)) >> np.uint64(56))
-                for t in range(own + 1):
-                    ka, kb = keys[a, t], keys[b, t]
-                    same = ka[:, :, None] == kb[:, None, :]
-                    if t == own:
-                        same &= (ka < key)[:, :, None]
-                    first = ~same.any(axis=(1, 2))
-                    a, b = a[first], b[first]
-                if not len(a):
-                    continue
-                mine, n = reps[at], copies[at]
-                links = np.bincount(a, n[b], minlength=len(at)) + np.bincount(b, n[a], minlength=len(at))
-                once = np.zeros_like(linked)
-                once[a, b] = once[b, a] = True
-                hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(mine[hit]), pa.array(links[hit].astype(np.int64)), pa.array(mine[_roots(once)[hit]])], schema=schema)
-
-    postings = classes.select("rep", "dim", "v").mapInArrow(enter, "key long, dim int, rep long, bits long")
-    cells = _cells(postings, block).select("key", "i", "j", "dim", "rep", "bits", "salt")
-    survivors = stage(cells.mapInArrow(close, "key long, rep long").distinct(), "survivors")
-    met = _cells(survivors.join(classes.drop("digest"), "rep"), block // 2)
-    found = stage(met.select("key", "i", "j", "rep", "copies", "dim", "v", "salt").mapInArrow(verify, "rep long, links long, root long"), "links")
+            u = _vectors(part.column(8).to_pylist(), key >> 40)
+            linked = (u @ u.T >= threshold) & first_met(key, i, j, part, 4, 5, 6)
+            if linked.any():
+                reps, copies = np.asarray(part.column(3)), np.asarray(part.column(7)).astype(float)
+                links, hit = (linked @ copies).astype(np.int64), np.flatnonzero(linked.any(axis=1))
+                roots = hit[_roots(linked[np.ix_(hit, hit)])]
+                yield pa.RecordBatch.from_arrays([pa.array(reps[hit]), pa.array(links[hit]), pa.array(reps[roots])], schema=schema)
+
+    postings = classes.select("rep", "dim", "v").mapInArrow(enter, "key long, rep long, own boolean, near binary, bits binary")
+    cells = _cells(postings, block).select("key", "i", "j", "rep", "own", "near", "bits", "salt")
+    survivors = stage(cells.mapInArrow(close, "key long, rep long, own boolean, near binary").distinct(), "survivors")
+    met = _cells(survivors.join(classes.select("rep", "copies", "v"), "rep"), block // 2)
+    found = stage(met.select("key", "i", "j", "rep", "own", "near", "salt", "copies", "v").mapInArrow(verify, "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
     per_class = classes.select("digest", "rep", "copies").join(links, "rep", "left").join(parts, "rep", "left")
