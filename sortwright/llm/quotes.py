@@ -1,12 +1,17 @@
 """Quotation linking: conversations in reply order, without the quotes.
 
 A message's lines are parsed into own text and quotes with their level (the number
-of leading ``>``). Normalised quoted lines are hashed and joined, within their
-conversation, to the latest earlier message that has the line as its own text. The
-message most of whose lines are quoted at level one is the parent. Pointer jumping
-along parents gives each message its thread and depth, and two-pass prefix counts
-over a range-partitioned sort give its position, so a conversation that holds a
-third of all rows is spread over many tasks throughout.
+of leading ``>``). Passages are hashed, normalised: each quoted line, and each sentence
+of a run of quoted lines whatever its line breaks, so that a quote which was wrapped
+anew, or one sentence of a long line, is still found. Hashes are joined, within their
+conversation, to the latest earlier message that has the passage as its own text. The
+message from which most words are quoted at level one is the parent.
+
+Replies are ordered by an Euler tour of the trees of parents: each message is entered
+and left, every such step knows the one before it, and pointer jumping along them gives
+its thread, depth and place. A step is the predecessor of one other, so no key of these
+joins is hot. Prefix counts over a range-partitioned sort then give positions, so a
+conversation that holds a third of all rows is spread over many tasks throughout.
 """
 
 from __future__ import annotations
@@ -19,15 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import discard, stage
 from .arrow import arrow_schema, slices
-from .staging import stage
 
 #: Turns that are searched at once for a line's latest earlier occurrence.
 SPAN = 1024
 
 _QUOTE = regex.compile(r"^[ \t]*+((?:>[ \t]?+)+)")
 #: Lines that introduce a quote in mail and forum software.
-_INTRO = regex.compile(r"^[ \t]*(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb\b.{0,100}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)[ \t]?:[ \t]*$", regex.I)
+_INTRO = regex.compile(r"^[ \t]*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)[ \t]?:[ \t]*$", regex.I)
+_SENTENCE = regex.compile(r"(?<=[.!?…。！？])[ ]+")
 
 
 def normalised(line: str) -> str:
@@ -36,81 +42,143 @@ def normalised(line: str) -> str:
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
-    """Own text of a message, and its non-blank quoted lines with their levels."""
+    """Own text of a message, and its quoted lines with their levels; a blank line, or own text, is (0, "") between them."""
     own: list[str] = []
     quoted: list[tuple[int, str]] = []
     for line in (text or "").split("\n"):
         m = _QUOTE.match(line)
         if not m:
             own.append(line)
+            quoted.append((0, ""))
             continue
         while own and not own[-1].strip():
             own.pop()
         if own and _INTRO.match(own[-1]):
             own.pop()
         rest = line[m.end() :]
-        if rest.strip():
-            quoted.append((m[1].count(">"), rest))
+        quoted.append((m[1].count(">"), rest) if rest.strip() else (0, ""))
     return "\n".join(own).strip(), quoted
 
 
-def _hash(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(normalised(line)) - (1 << 63)
+def sentences(lines: list[str]) -> list[tuple[str, int, int]]:
+    """Sentences of adjoining lines, normalised, each with the first and last line it lies in."""
+    words = [normalised(x) for x in lines]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    out, at = [], 0
+    for s in _SENTENCE.split(" ".join(words)):
+        if s:
+            first, last = np.searchsorted(ends, [at, at + len(s) - 1], side="right")
+            out.append((s, int(first), int(last)))
+        at += len(s) + 1
+    return out
 
 
-def _lines(messages: DataFrame) -> DataFrame:
-    """One row a non-blank line: (conv, turn, level, h); level 0 is own text."""
-    schema = arrow_schema([("conv", pa.int64()), ("turn", pa.int64()), ("level", pa.int32()), ("h", pa.int64())])
+def _runs(lines: list[tuple[int, str]]):
+    """Adjoining lines of equal level above 0 as (level, index of the first, lines)."""
+    start = 0
+    for i in range(1, len(lines) + 1):
+        if i == len(lines) or lines[i][0] != lines[start][0]:
+            if lines[start][0] > 0:
+                yield lines[start][0], start, [x for _, x in lines[start:i]]
+            start = i
+
+
+def own_passages(body: str) -> set[str]:
+    """Lines and sentences of a message's own text, normalised."""
+    found = {normalised(x) for x in body.split("\n") if x.strip()}
+    for _, _, lines in _runs([(1 if x.strip() else 0, x) for x in body.split("\n")]):
+        found.update(s for s, _, _ in sentences(lines))
+    return found
+
+
+def quoted_passages(quoted: list[tuple[int, str]]) -> list[tuple[int, int, int, str]]:
+    """(level, line, its words, passage) of quoted lines: the line itself, and the sentences it has a part of."""
+    out = []
+    for level, start, lines in _runs(quoted):
+        words = [len(x.split()) for x in lines]
+        found = {(i, normalised(x)) for i, x in enumerate(lines)}
+        found |= {(i, s) for s, first, last in sentences(lines) for i in range(first, last + 1)}
+        out += [(level, start + i, words[i], p) for i, p in sorted(found)]
+    return out
+
+
+def _hash(passage: str) -> int:
+    return xxhash.xxh3_64_intdigest(passage) - (1 << 63)
+
+
+def _passages(messages: DataFrame) -> DataFrame:
+    """One row a passage: (conv, turn, level, line, words, h); level 0 is own text."""
+    schema = arrow_schema([("conv", pa.int64()), ("turn", pa.int64()), ("level", pa.int32()), ("line", pa.int32()), ("words", pa.int32()), ("h", pa.int64())])
 
     def run(batches):
         for rows in slices(batches):
             out = []
             for conv, turn, text in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
                 own, quoted = parse(text)
-                out += [(conv, turn, 0, _hash(x)) for x in own.split("\n") if x.strip()]
-                out += [(conv, turn, level, _hash(x)) for level, x in quoted]
+                out += [(conv, turn, 0, None, None, h) for h in {_hash(x) for x in own_passages(own)}]
+                out += [(conv, turn, level, line, words, _hash(x)) for level, line, words, x in quoted_passages(quoted)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return messages.select("conv", "turn", "text").mapInArrow(run, "conv long, turn long, level int, h long")
+    return messages.select("conv", "turn", "text").mapInArrow(run, "conv long, turn long, level int, line int, words int, h long")
 
 
-def _origins(lines: DataFrame) -> DataFrame:
-    """For each quoted line (conv, turn, level, h) the latest earlier turn that has it as own text."""
-    quoted = lines.where("level > 0").groupBy("conv", "h", "turn", "level").agg(F.count(F.lit(1)).alias("n"))
-    wanted = quoted.select("conv", "h").distinct()
-    own = lines.where("level = 0").join(wanted, ["conv", "h"], "left_semi").select("conv", "h", "turn").distinct()
+def _earlier(rows: DataFrame, keys: list[str], own: DataFrame) -> DataFrame:
+    """Rows (keys, turn, ...) with ``before``: the latest turn of ``own`` (keys, turn) below theirs, or null.
+
+    Turns are looked at by spans: a window holds the turns of one span, and another one
+    row a span, so no group of one key is sorted whole.
+    """
     span = F.floor(F.col("turn") / SPAN).cast("long")
-    # Within a span the window holds at most the turns of that span; across spans one row a span.
-    both = own.select("conv", "h", "turn", span.alias("span"), F.lit(1).alias("own"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("n")).unionByName(
-        quoted.select("conv", "h", "turn", span.alias("span"), F.lit(0).alias("own"), "level", "n")
-    )
-    earlier = Window.partitionBy("conv", "h", "span").orderBy("turn", "own").rowsBetween(Window.unboundedPreceding, -1)
-    near = both.withColumn("near", F.max(F.when(F.col("own") == 1, F.col("turn"))).over(earlier)).where("own = 0")
-    spans = own.groupBy("conv", "h", span.alias("span")).agg(F.max("turn").alias("last"))
-    asked = near.select("conv", "h", "span").distinct().join(spans, ["conv", "h", "span"], "full_outer")
-    before = asked.withColumn("far", F.max("last").over(Window.partitionBy("conv", "h").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).select("conv", "h", "span", "far")
-    found = near.join(before, ["conv", "h", "span"], "left")
-    return found.select("conv", "turn", "level", "n", F.coalesce("near", "far").alias("origin"))
-
-
-def _threads(parents: DataFrame) -> DataFrame:
-    """(conv, turn, thread, depth) of messages with a parent (conv, turn, parent), by pointer jumping."""
-    now = stage(parents.select("conv", "turn", F.col("parent").alias("up"), F.lit(1).alias("depth")), "threads")
-    while True:
-        far = now.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        joined = now.join(far, ["conv", "up"], "left")
-        after = stage(joined.select("conv", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).cast("int").alias("depth"), F.col("up2").isNotNull().alias("moved")), "threads")
-        now = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return now.withColumnRenamed("up", "thread")
+    marks = own.select(*keys, "turn").distinct().withColumn("span", span)
+    asked = rows.withColumn("span", span)
+    both = asked.withColumn("own", F.lit(0)).unionByName(marks.withColumn("own", F.lit(1)), allowMissingColumns=True)
+    earlier = Window.partitionBy(*keys, "span").orderBy("turn", "own").rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.max(F.when(F.col("own") == 1, F.col("turn"))).over(earlier)).where("own = 0").drop("own")
+    spans = marks.groupBy(*keys, "span").agg(F.max("turn").alias("last"))
+    steps = asked.select(*keys, "span").distinct().join(spans, [*keys, "span"], "full_outer")
+    far = steps.withColumn("far", F.max("last").over(Window.partitionBy(*keys).orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).select(*keys, "span", "far")
+    found = near.join(far, [*keys, "span"], "left")
+    return found.withColumn("before", F.coalesce("near", "far")).drop("near", "far", "span")
+
+
+def _origins(passages: DataFrame) -> DataFrame:
+    """(conv, turn, level, line, words, origin): for each quoted line the latest earlier turn that has one of its passages."""
+    quoted = passages.where("level > 0")
+    own = passages.where("level = 0").join(quoted.select("conv", "h").distinct(), ["conv", "h"], "left_semi").select("conv", "h", "turn")
+    found = _earlier(quoted, ["conv", "h"], own)
+    return found.groupBy("conv", "turn", "level", "line", "words").agg(F.max("before").alias("origin"))
+
+
+def _tours(parents: DataFrame) -> DataFrame:
+    """(conv, turn, thread, depth, place) of all messages in trees of (conv, turn, parent); place is the order of entering."""
+    nodes = parents.unionByName(parents.select("conv", F.col("parent").alias("turn")).distinct().join(parents.select("conv", "turn"), ["conv", "turn"], "left_anti").withColumn("parent", F.lit(None).cast("long")))
+    nodes = stage(nodes, "nodes")
+    # A child is entered after its parent is, or after the child before it is left; left after its last child is, or after it is entered.
+    children = nodes.where("parent is not null")
+    after = _earlier(children, ["conv", "parent"], children).withColumnRenamed("before", "sibling")
+    last = children.groupBy("conv", F.col("parent").alias("turn")).agg(F.max("turn").alias("child"))
+    enter = after.select("conv", "turn", F.lit(True).alias("enter"), F.coalesce("sibling", "parent").alias("up"), F.col("sibling").isNull().alias("up_enter"))
+    roots = nodes.where("parent is null").select("conv", "turn", F.lit(True).alias("enter"), F.lit(None).cast("long").alias("up"), F.lit(None).cast("boolean").alias("up_enter"))
+    leave = nodes.join(last, ["conv", "turn"], "left").select("conv", "turn", F.lit(False).alias("enter"), F.coalesce("child", "turn").alias("up"), F.col("child").isNull().alias("up_enter"))
+    steps = enter.unionByName(roots).unionByName(leave)
+    # Up to a step: steps that enter, and how far down; head is the turn of the tour's first step, once reached.
+    one = F.when(F.col("enter"), 1)
+    now = stage(steps.select("conv", "turn", "enter", "up", "up_enter", one.otherwise(0).cast("long").alias("place"), one.otherwise(-1).cast("long").alias("depth"), F.when(F.col("up").isNull(), F.col("turn")).alias("head")), "steps")
+    while not now.where("up is not null").isEmpty():
+        far = now.select("conv", F.col("turn").alias("up"), F.col("enter").alias("up_enter"), F.col("up").alias("up2"), F.col("up_enter").alias("enter2"), F.col("place").alias("place2"), F.col("depth").alias("depth2"), F.col("head").alias("head2"))
+        moved = now.where("up is not null").join(far, ["conv", "up", "up_enter"])
+        moved = moved.select("conv", "turn", "enter", F.col("up2").alias("up"), F.col("enter2").alias("up_enter"), (F.col("place") + F.col("place2")).alias("place"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("head2").alias("head"))
+        before, now = now, stage(now.where("up is null").unionByName(moved), "steps")
+        discard(before)
+    return now.where("enter").select("conv", "turn", F.col("head").alias("thread"), (F.col("depth") - 1).cast("int").alias("depth"), "place")
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    """Add position, counted from 0 in each conversation in order (thread, turn, body)."""
+    """Add position, counted from 0 in each conversation in order (thread, place, body)."""
     schema_text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     at = rows.columns.index("conv")
-    dealt = rows.repartitionByRange("conv", "thread", "turn", "body").sortWithinPartitions("conv", "thread", "turn", "body")
+    dealt = rows.repartitionByRange("conv", "thread", "place", "body").sortWithinPartitions("conv", "thread", "place", "body")
 
     def count(batches):
         part, last, n = TaskContext.get().partitionId(), object(), 0
@@ -135,34 +203,35 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     """Link quotes to their messages and put conversations in reply order.
 
     Returns conv_id, turn, role, body (the text without quotes), quoted (number of
-    quoted lines), linked (those found in an earlier message of the conversation),
-    parent (turn of the message mostly quoted at level one; ties: the latest), thread
-    (first turn of its chain of parents), depth (links to it), position (place in the
-    conversation, from 0, by thread and turn) and formatted (role line, body, end
-    line: concatenated by position they are the conversation). One row per input row.
+    quoted lines), linked (those of which a passage is found in an earlier message of the
+    conversation), parent (turn of the message most words are quoted from at level one;
+    ties: the latest), thread (first turn of its chain of parents), depth (links to it),
+    position (place in the conversation, from 0: threads by their first turn, in each a
+    message, then its replies by turn, each followed by its own) and formatted (role
+    line, body, end line: concatenated by position they are the conversation). One row
+    per input row.
 
     A null text is empty; a null role is written as an empty one. Rows whose
-    conversation or turn is null link with nothing. Rows that repeat a turn are kept,
-    in order of their text, and count as one message for links. Other columns are
-    left out; an empty table gives an empty table.
+    conversation or turn is null link with nothing; null turns come first. Rows that
+    repeat a turn are kept, in order of their text, and count as one message for links.
+    Texts of any length are read whole. Other columns are left out; an empty table gives
+    an empty table.
     """
     src = df.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    lines = _lines(src.where("conv is not null and turn is not null"))
-    found = stage(_origins(lines), "origins")
-    votes = found.where("level = 1 and origin is not null").groupBy("conv", "turn", "origin").agg(F.sum("n").alias("n"))
-    parents = votes.groupBy("conv", "turn").agg(F.max(F.struct("n", "origin"))["origin"].alias("parent"))
-    threads = _threads(parents).join(parents, ["conv", "turn"])
-    counts = found.groupBy("conv", "turn").agg(F.sum("n").alias("quoted_lines"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n"))).alias("linked"))
-    facts = counts.join(threads, ["conv", "turn"], "left")
+    found = stage(_origins(_passages(src.where("conv is not null and turn is not null"))), "origins")
+    votes = found.where("level = 1 and origin is not null").groupBy("conv", "turn", "origin").agg(F.sum("words").alias("n"))
+    parents = stage(votes.groupBy("conv", "turn").agg(F.max(F.struct("n", "origin"))["origin"].alias("parent")), "parents")
+    counts = found.groupBy("conv", "turn").agg(F.count("origin").alias("linked"))
+    facts = counts.join(_tours(parents), ["conv", "turn"], "full_outer").join(parents, ["conv", "turn"], "left")
 
     def bodies(batches):
         schema = arrow_schema([("conv", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("body", pa.string()), ("quoted", pa.int64())])
         for rows in slices(batches):
             parsed = [parse(t) for t in rows.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(rows.column(i).cast(schema.field(i).type) for i in range(3)), pa.array([b for b, _ in parsed], pa.string()), pa.array([len(q) for _, q in parsed], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(rows.column(i).cast(schema.field(i).type) for i in range(3)), pa.array([b for b, _ in parsed], pa.string()), pa.array([sum(level > 0 for level, _ in q) for _, q in parsed], pa.int64())], schema=schema)
 
     own = src.mapInArrow(bodies, "conv long, turn long, role string, body string, quoted long")
-    full = own.join(facts.select("conv", "turn", "linked", "parent", "thread", "depth"), ["conv", "turn"], "left")
-    full = full.select("conv", "turn", "role", "body", "quoted", F.coalesce("linked", F.lit(0)).cast("long").alias("linked"), "parent", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
+    full = own.join(facts.select("conv", "turn", "linked", "parent", "thread", "depth", "place"), ["conv", "turn"], "left")
+    full = full.select("conv", "turn", "role", "body", "quoted", F.coalesce("linked", F.lit(0)).cast("long").alias("linked"), "parent", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("place", F.lit(1)).alias("place"))
     text = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>\n"))
     return _positions(full).withColumn("formatted", text).withColumnRenamed("conv", conv_col).select(conv_col, "turn", "role", "body", "quoted", "linked", "parent", "thread", "depth", "position", "formatted")

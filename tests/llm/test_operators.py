@@ -1,6 +1,7 @@
 """The language-model operators against libraries, brute force and defined edge cases."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -140,6 +141,36 @@ def test_vector_links(spark):
     assert embeddings.link_vectors(df.limit(0)).count() == 0
 
 
+def test_a_hot_bucket_of_different_vectors(spark):
+    """A third of all rows are near each other: many cells of one bucket, each pair counted once."""
+    rng = np.random.default_rng(8)
+    vectors = [*(rng.normal(size=16) + rng.normal(scale=0.1, size=(300, 16))).tolist(), *rng.normal(size=(600, 16)).tolist()]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    vectors = [r["embedding"] for r in df.orderBy("vec_id").collect()]
+    want = brute_links(list(range(900)), vectors, 0.9)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.link_vectors(df, block=64).collect()}
+    assert max(n for n, _ in want.values()) > 250
+    assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
+
+
+def test_repeated_vector_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (None, [1.0, 0.0]), (3, [-0.0, 1.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embeddings.link_vectors(df).collect())
+    assert got == [(0, 0, 0, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False)]
+
+
+@pytest.mark.parametrize("dim", [16, 64, 256])
+def test_recall_holds_as_rows_grow(dim):
+    for rows in (10**4, 10**6, 10**8, 10**10):
+        hashes = embeddings.hash_count(rows, dim)
+        tables, probes = embeddings.tables_and_probes(dim, hashes, 0.9)
+        x, y = embeddings.pairs_at(0.9, dim, 400, 99)
+        keys = [embeddings.bucket_keys(v, hashes, tables, probes) for v in (x, y)]
+        assert embeddings.meeting(*keys).any(axis=1).mean() >= 0.95
+        near = np.bitwise_count(embeddings.sign_bits(x) ^ embeddings.sign_bits(y)).sum(axis=1) <= embeddings.bit_limit(0.9)
+        assert near.all()
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -322,9 +353,95 @@ def test_quotes(spark):
     assert got[(2, 0, "")]["formatted"] == "<||>\n\n<|end|>\n" and quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def brute_quotes(rows):
+    """(conv, turn) to (quoted, linked, parent, thread, depth) and the turns of each conversation in reply order."""
+    flat = lambda x: " ".join(x.casefold().split())
+    facts, order = {}, {}
+    for conv in sorted({r[0] for r in rows}):
+        own, quoted = {}, {}
+        for _, turn, text in sorted(r for r in rows if r[0] == conv):
+            mine, runs = [[]], [[]]
+            for line in text.split("\n"):
+                level = len(line) - len(line.lstrip(">"))
+                if level:
+                    runs.append([]) if runs[-1] and runs[-1][-1][0] != level else None
+                    runs[-1].append((level, flat(line.lstrip(">"))))
+                else:
+                    runs.append([])
+                    mine[-1].append(flat(line)) if line.strip() else mine.append([])
+            cut = lambda x: [k for k in re.split(r"(?<=[.!?]) ", x) if k]
+            own[turn] = {x for block in mine for x in block} | {x for block in mine for x in cut(" ".join(block))}
+            quoted[turn] = []
+            for run in filter(None, runs):
+                at, whole = 0, " ".join(x for _, x in run)
+                spans = [(whole.index(k), k) for k in cut(whole)]
+                for level, x in run:
+                    units = {x} | {k for s, k in spans if s < at + len(x) and at < s + len(k)}
+                    quoted[turn].append((level, len(x.split()), max((t for t in own if t < turn and units & own[t]), default=None)))
+                    at += len(x) + 1
+        parent = {}
+        for turn, lines in quoted.items():
+            votes = {}
+            for level, n, origin in lines:
+                if level == 1 and origin is not None:
+                    votes[origin] = votes.get(origin, 0) + n
+            parent[turn] = max(((n, t) for t, n in votes.items()), default=(0, None))[1]
+        order[conv] = []
+
+        def walk(turn, root, depth):
+            order[conv].append(turn)
+            facts[conv, turn] = (len(quoted[turn]), sum(o is not None for _, _, o in quoted[turn]), parent[turn], root, depth)
+            for child in sorted(t for t in parent if parent[t] == turn):
+                walk(child, root, depth + 1)
+
+        for turn in sorted(t for t in parent if parent[t] is None):
+            walk(turn, turn, 0)
+    return facts, order
+
+
+def test_quotes_equal_brute_force(spark):
+    """One conversation over several ranges and spans, deep and wide threads, quotes wrapped anew, one sentence of a long line."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for conv, n in ((1, 400), (2, 30), (3, 1), (4, 12)):
+        texts = []
+        for turn in range(n):
+            lines = [" ".join(f"w{rng.integers(0, 60)}" for _ in range(rng.integers(1, 9))) + rng.choice([".", "", "!"]) for _ in range(rng.integers(1, 4))]
+            quote = []
+            if turn and rng.random() < 0.8:
+                source = texts[-1 if conv == 4 or rng.random() < 0.3 else int(rng.integers(0, len(texts)))]
+                words = [x for x in source.split("\n") if x.strip()]
+                kind = rng.integers(0, 3)
+                if kind == 0:
+                    quote = [">" + x for x in words]
+                elif kind == 1:
+                    again = " ".join(x.lstrip(">") for x in words if not x.startswith(">")).split()
+                    quote = ["> " + " ".join(again[i : i + 3]) for i in range(0, len(again), 3)]
+                else:
+                    quote = ["> " + words[-1].split(". ")[0].lstrip(">")]
+            texts.append("\n".join([*quote, *lines] if rng.random() < 0.7 else [" ".join(lines), "", *quote]))
+        rows += [(conv, turn * 700, text) for turn, text in enumerate(texts)]
+    facts, order = brute_quotes(rows)
+    assert max(f[4] for f in facts.values()) > 4 and sum(f[1] > 0 for f in facts.values()) > 100
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(5)
+    got = quotes.link_quotes(df).collect()
+    assert {(r["conv_id"], r["turn"]): (r["quoted"], r["linked"], r["parent"], r["thread"], r["depth"]) for r in got} == facts
+    for conv, turns in order.items():
+        assert [r["turn"] for r in sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["position"])] == turns
+
+
+def test_replies_follow_what_they_answer(spark):
+    rows = [(1, 0, "a", "Start one."), (1, 1, "b", "> Start one.\nFirst answer."), (1, 2, "c", "> Start one.\nSecond answer."), (1, 3, "d", "> First answer.\nThird."), (1, None, "e", "> Start one."), (1, 4, None, "x" * 200_000)]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [r["turn"] for r in sorted(got, key=lambda r: r["position"])] == [None, 0, 1, 3, 2, 4]
+
+
 def test_quotes_query(spark):
     rows = queries.op5_quotes(spark, DATA).collect()
-    assert len(rows) == spark.read.parquet(f"{DATA}/conversations.parquet").count()
+    source = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "text").collect()]
+    facts, order = brute_quotes(source)
+    assert {(r["conv_id"], r["turn"]): (r["quoted"], r["linked"], r["parent"], r["thread"], r["depth"]) for r in rows} == facts and len(rows) == len(source)
+    assert all([r["turn"] for r in sorted((r for r in rows if r["conv_id"] == c), key=lambda r: r["position"])] == turns for c, turns in order.items())
 
 
 def test_pipeline(spark):
