@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortwright.llm import langid, ngram_join, packing, quality
-from sortwright.llm.staging import stage
+from sortwright.staging import stage
 
 #: Mean probability of the best language below which a text has none.
 LANGUAGE_SCORE = 0.3
@@ -23,7 +23,13 @@ BROADCAST_IDS = 1 << 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the ordinal classifier selects: likely of the top grade."""
+    """Keep what the ordinal classifier selects: likely of the top grade.
+
+    A null or empty text is graded as a text without words, and goes where such texts
+    are rated poor; rows that repeat are graded alike, nulls in other columns and extra
+    columns stay as they are, an empty table gives an empty one. Without usable ratings
+    all rows stay.
+    """
     labels = quality.grades_from_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = quality.train(docs, labels)
     graded = quality.grade(docs.withColumn("__row", F.struct(*docs.columns)).select("__row", F.col("text")), model, "__row")
@@ -33,7 +39,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose language the network tells: they have letters and a clear best language.
 
-    With no language learned no text can be told from another, so all stay.
+    Null and empty texts, and those without a letter, go. Rows that repeat are told
+    alike, nulls in other columns and extra columns stay as they are, an empty table
+    gives an empty one. With no language learned no text can be told from another, so all stay.
     """
     net = langid.train(docs)
     if not net.languages:
@@ -46,7 +54,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the smallest id of each component of near copies, once.
 
     Documents without words and rows without an id are no one's copies and stay. Rows
-    that repeat both id and text of a kept document go.
+    that repeat both id and text of a kept document go. Extra columns stay as they are;
+    an empty table gives an empty one.
     """
     groups = stage(ngram_join.components(docs, percent=COPY_PERCENT, width=COPY_WORDS), "components")
     copies = stage(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
@@ -60,7 +69,11 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 tokens."""
+    """Pack what is left into sequences of 2048 tokens.
+
+    A null or empty text is its end id alone; repeated rows and null ids are packed like
+    any others, other columns are left out, an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
