@@ -4,7 +4,7 @@ Each round hangs the larger neighbours of every node on its smallest neighbour
 (large star), then the smaller ones (small star), until nothing changes. The
 number of rounds grows with the logarithm of the longest path. Edges stay
 distributed; each round is a staged table, so a lost executor repeats at most
-one round.
+one round; its table is deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from ..staging import discard, stage
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -53,7 +53,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
             .unionByName(root.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        now = stage(small, "edges")
+        last, now = now, stage(small, "edges")
+        discard(last)
         before, state = state, _state(now)
         if before == state:
             break

@@ -151,8 +151,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def held_out(id_column) -> F.Column:
-    """Whether an id belongs to the fold that is never learned from."""
-    return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(3)) == 1
+    """Whether an id belongs to the fold that is never learned from; a null id doesn't."""
+    return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def predict_texts(net: ByteCNN, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, net: ByteCNN, id_col: str = "doc_id", text_col: str
 
     Returns ``id_col`` (or with ``keep_cols`` all columns of ``docs``, clashing names
     replaced), lang_pred and score, the mean probability. A text that is null or has
-    no letter is ``und`` with score 0; repeated rows get equal results; an empty
+    no letter is ``und`` with score 0; a null id is kept; repeated rows get equal results; an empty
     table gives an empty table. The network has a fixed size and travels with the
     task; one narrow pass, no shuffle.
     """

@@ -58,8 +58,8 @@ class Features:
         known = self.memo.get(word)
         if known is None:
             core = EDGE.sub("", word).lower()
-            edge = "".join(sorted(set(EDGE.findall(word))))[:8]
-            made = [_slot("w:" + core[:40]), _slot("4:" + core[:4]), _slot("5:" + core[:5])] if core else []
+            edge = "".join(sorted(set(EDGE.findall(word))))
+            made = [_slot("w:" + core), _slot("4:" + core[:4]), _slot("5:" + core[:5])] if core else []
             if edge:
                 made.append(_slot("e:" + edge))
             known = tuple(made)
@@ -182,7 +182,7 @@ def grades_from_labels(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", cap: int = MAX_RATED) -> OrdinalModel:
-    """Fit the model on at most about ``cap`` of the rated documents."""
+    """Fit the model on at most about ``cap`` of the rated documents; one that is rated twice has its lower grade."""
     return fit(*rated_sample(docs, rated, id_col, text_col, grade_col, cap))
 
 

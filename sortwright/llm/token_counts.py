@@ -10,7 +10,7 @@ normalised only as far as counts can't change: null becomes the empty text.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from ..staging import new_path, stage
 from .arrow import arrow_schema, slices
-from .staging import new_path
 from .vocab import PIECE_BPE
 
 #: Changes when the way of counting does.
@@ -28,6 +28,10 @@ COUNTER = "piece-counter-1"
 MEMO_ENTRIES = 600_000
 MEMO_CHARS = 48
 MARK = "▁"
+#: Digests up to which a table of them is broadcast (about 50 bytes each); beyond it they are shuffled.
+BROADCAST_DIGESTS = 1 << 20
+#: Rows from which a digest's rows are counted without being dealt by it.
+OFTEN = 256
 
 
 class PieceCounter:
@@ -114,12 +118,13 @@ class DigestCache:
     def __init__(self, spark: SparkSession, root: str, version: str):
         self.spark, self.path = spark, f"{root.rstrip('/')}/version={version}"
 
-    def read(self) -> DataFrame:
+    def read(self) -> DataFrame | None:
+        """The stored counts (digest, n_tokens), or None before the first are."""
         schema = "digest binary, n_tokens long"
         sc = self.spark.sparkContext
         at = sc._jvm.org.apache.hadoop.fs.Path(self.path)
         if not at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], schema)
+            return None
         return self.spark.read.schema(schema).parquet(self.path)
 
     def append(self, counts: DataFrame) -> None:
@@ -150,20 +155,33 @@ def count_tokens(
     counts as empty: 0 bytes, 0 tokens. Equal texts share one stored count;
     repeated rows and null ids are kept; other columns are ignored; an empty table
     gives an empty table. ``cache_root`` names a cache that outlives the call;
-    without it the call has a fresh one in the shared folder. Contents are
-    pre-aggregated by digest before they are shuffled, so a text that a third of
-    all rows repeat crosses the network once per task.
+    without it the call has a fresh one in the shared folder. Digests
+    are joined to the cache first; only texts of misses are shuffled, pre-aggregated by
+    digest, so a text that a third of all rows repeat crosses the network once per task.
     """
     spark = df.sparkSession
     cache = DigestCache(spark, cache_root or new_path(spark, "counts"), version_digest(vocabulary))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.select(F.col(id_col).alias("k"), text.alias("t")).withColumn("digest", F.unhex(F.sha2("t", 256)))
-    distinct = keyed.groupBy("digest").agg(F.any_value("t").alias("t"))
-    known = cache.read().select("digest")
-    cache.append(_encode(distinct.join(known, "digest", "left_anti").select("digest", "t"), vocabulary))
-    counts = cache.read().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return (
-        keyed.select("k", "digest", F.octet_length("t").cast("long").alias("n_bytes"))
-        .join(counts, "digest")
-        .select(F.col("k").alias(id_col), "n_bytes", "n_tokens")
-    )
+    ids = stage(keyed.select("k", "digest", F.octet_length("t").cast("long").alias("n_bytes")), "digests")
+    asked = ids.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"))
+    stored = cache.read()
+    misses = keyed
+    if stored is not None:
+        # Only digests are shuffled here; texts are, below, of misses alone.
+        found = stage(asked.join(stored, "digest", "left_semi").select("digest"), "found")
+        some = found.count()
+        found = F.broadcast(found) if some <= BROADCAST_DIGESTS else found
+        misses = keyed.join(found, "digest", "left_anti") if some else keyed
+    misses = misses.groupBy("digest").agg(F.any_value("t").alias("t"))
+    cache.append(_encode(misses.select("digest", "t"), vocabulary))
+    counts = cache.read().join(asked, "digest", "left_semi") if stored is not None else cache.read()
+    counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # A digest that many rows have would meet its rows in one task: those digests are few, and are broadcast.
+    often = stage(asked.where(F.col("rows") >= OFTEN).join(counts, "digest").select("digest", "n_tokens"), "often")
+    seldom, out = ids, []
+    if 0 < often.count() <= BROADCAST_DIGESTS:
+        out = [ids.join(F.broadcast(often), "digest")]
+        seldom = ids.join(F.broadcast(often.select("digest")), "digest", "left_anti")
+    out = reduce(DataFrame.unionByName, (x.select("k", "n_bytes", "n_tokens") for x in [*out, seldom.join(counts, "digest")]))
+    return out.withColumnRenamed("k", id_col)

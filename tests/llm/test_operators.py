@@ -105,6 +105,25 @@ def test_token_counts(spark, tmp_path):
     assert token_counts.count_tokens(frame(spark, [])).count() == 0
 
 
+def test_token_counts_query(spark, docs):
+    pieces = sentencepiece.SentencePieceProcessor(model_file=token_counts.PIECE_BPE)
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op6_token_counts(spark, DATA).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()}
+    want = {r["doc_id"]: (len(r["text"].encode()), len(pieces.encode(r["text"]))) for r in docs.collect()}
+    assert got == {k: (b, n, n > 4096) for k, (b, n) in want.items()} and any(n > 4096 for _, n in want.values())
+
+
+def test_a_full_cache_is_not_encoded_again(spark, tmp_path):
+    texts = ["one text", None, *["a text that very many rows have"] * 700, "x" * 100_000]
+    df, root = frame(spark, texts).withColumn("n_tokens", F.lit(-1)).withColumn("digest", F.lit("own")), f"file://{tmp_path}/cache"
+    df = df.unionByName(df.where("doc_id < 2").withColumn("doc_id", F.lit(None).cast("long")))
+    first = sorted(map(tuple, token_counts.count_tokens(df, cache_root=root).na.fill(-1).collect()))
+    assert len(first) == 705 and first[0][0] == -1
+    cache = token_counts.DigestCache(spark, root, token_counts.version_digest(token_counts.PIECE_BPE))
+    assert cache.read().count() == 4
+    assert sorted(map(tuple, token_counts.count_tokens(df, cache_root=root).na.fill(-1).collect())) == first
+    assert cache.read().count() == 4
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, None), (201, 200)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
