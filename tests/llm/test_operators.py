@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -229,6 +230,46 @@ def test_html():
         html_text.main_text(broken, tree)
 
 
+def test_html_words_and_links_decide():
+    """Held-out pages of the table: every block right; without the facts of the markup nearly all; without words and links few."""
+    pages = [html_text.blocks(x) for x in pq.read_table("/root/testdata/sf0.1/pages.parquet")["html"].to_pylist()]
+    x, text = np.concatenate([html_text.describe(b) for b in pages]), np.concatenate([[k.main for k in b] for b in pages])
+    tree = html_text.train()
+    told = tree.predict(x)
+    assert (told == text).all()
+    blank = lambda *names: tree.predict(np.where(np.isin(html_text.FEATURES, names)[None, :], 0.0, x))
+    assert (blank("main", "page has main") == text).mean() > 0.97
+    assert (blank(*html_text.FEATURES[:6]) != told).mean() > 0.3
+    assert (blank(*html_text.FEATURES[2:6]) != told).mean() > 0.01
+
+
+#: Pages of other layouts, by hand: blocks of the article between brackets.
+LABELLED = """<div><a href=x>Home</a></div><div><a href=x>World</a></div><div><a href=x>Sport</a></div><h1>[The bridge is closed again]</h1><p>[Since this morning no car has crossed the old bridge, and the town says that it will stay so for at least a month while the piers are looked at.]</p><p>[The ferry runs instead.]</p><p>[It leaves every hour from the old harbour and takes sixty cars, so those who can are asked to walk, to ride or to stay at home until the works are done.]</p><div><a href=x>Read more on bridges</a></div><div><a href=x>The ferry in numbers</a></div><div>Copyright by the paper</div>
+<nav><a href=x>Start</a></nav><main><h1>[How to bake bread]</h1><p>[Flour, water, salt and time are all that a loaf needs, and of these time is what most of us have too little of.]</p><h2>[What you need]</h2><ul><li>[a pound of flour]</li><li>[water that is not too cold]</li><li>[salt]</li></ul><p>[Mix all of it, wait a night, fold it twice and bake it in a pot with a lid for three quarters of an hour.]</p></main><div><p>I tried this twice and it worked well the second time, thank you so much for this.</p></div><footer>All recipes</footer>
+<header>The Daily</header><article><h1>[Short news]</h1><p>[Rain.]</p><p>[More rain is expected in the north of the land on Sunday.]</p><aside>Also read what was new last week</aside><p>[Then sun.]</p><form>Your name and address <button>Send</button></form></article><div>Terms of use</div>"""
+
+
+def test_html_layouts_by_block():
+    tree, hits, told_text, of_text = html_text.train(), 0, 0, 0
+    for page in LABELLED.splitlines():
+        found = html_text.blocks(page)
+        text = ["[" in b.text for b in found]
+        told = tree.predict(html_text.describe(html_text.blocks(page.replace("[", "").replace("]", ""))))
+        hits += sum(a and b for a, b in zip(told, text, strict=True))
+        told_text, of_text = told_text + sum(told), of_text + sum(text)
+    assert hits / told_text >= 0.9 and hits / of_text >= 0.9, (hits, told_text, of_text)
+
+
+def test_html_deep_and_long_pages():
+    tree = html_text.train()
+    words = "some words of a text that goes on for a while, as texts do"
+    deep = "<div>" * 30_000 + f"<article><p>{words}</p><p>{words}</p></article>" + "</section>" * 30_000
+    assert html_text.main_text(deep, tree) == f"{words}\n{words}"
+    assert html_text.main_text(f"<article>{f'<p>{words}</p>' * 5000}</article>", tree) == "\n".join([words] * 5000)
+    assert html_text.main_text(f"<article><p>{words}</p><select><option>x<p>{words}</p></article>", tree) == f"{words}\nx\n{words}"
+    assert html_text.main_text(f"<article><p>{words}</p><p>{words}</p><script>x<p>{words}</p></article>", tree) == f"{words}\n{words}"
+
+
 def test_html_query(spark):
     rows = queries.op7_html(spark, DATA).collect()
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
