@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -206,6 +207,86 @@ def test_quality(spark, docs):
     assert quality.grade(more.limit(3), empty).count() == 3 and quality.grade(frame(spark, []), model).count() == 0
 
 
+def ordinal_loss(model, rows, grades):
+    """Mean negative log-likelihood, written out grade by grade."""
+    edges = [-np.inf, *model.thresholds, np.inf]
+    total = 0.0
+    for slots, g in zip(rows, grades, strict=True):
+        s = sum(float(model.weights[i]) for i in slots)
+        low, high = (1 / (1 + np.exp(-(e - s))) for e in (edges[g], edges[g + 1]))
+        total -= np.log(high - low)
+    return total / len(rows)
+
+
+def test_ordinal_fit_is_a_minimum():
+    """Finite differences of the written-out likelihood vanish where the fit stops; rare features get no weight."""
+    rng = np.random.default_rng(2)
+    truth = rng.normal(size=12)
+    rows = [np.flatnonzero(rng.random(12) < 0.4).astype(np.int32) for _ in range(600)]
+    rows[0] = np.append(rows[0], np.int32(15))
+    grades = np.array([int(np.searchsorted([-0.7, 0.8], truth[r[r < 12]].sum() + rng.logistic())) for r in rows])
+    model = quality.fit(rows, grades, steps=3000, rate=0.02, lasso=0.0, bits=4)
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1] and model.weights[15] == 0
+    model.weights = model.weights.astype(float)
+    for values in (model.weights[:12], model.thresholds):
+        for i in range(len(values)):
+            values[i] += 1e-4
+            up = ordinal_loss(model, rows, grades)
+            values[i] -= 2e-4
+            down = ordinal_loss(model, rows, grades)
+            values[i] += 1e-4
+            assert abs(up - down) / 2e-4 < 2e-3
+    tails = model.tails(np.array([0.3]))[0]
+    want = [1 - 1 / (1 + np.exp(-(t - 0.3))) for t in model.thresholds]
+    assert np.allclose(tails, want)
+
+
+def test_quality_grades(spark):
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rated = quality.grades_from_labels(labels)
+    assert {r["grade"] for r in rated.select("grade").distinct().collect()} == {0, 1, 2}
+    toxic = labels.where("quality > 0 and toxic > 0").select("doc_id")
+    got = queries.op4_quality(spark, "/root/testdata/sf0.01")
+    assert got.count() == more.count() and got.join(toxic, "doc_id").agg(F.avg(F.col("kept").cast("int"))).first()[0] < 0.3
+    both = spark.createDataFrame([(1, 2), (1, 0), (2, 2), (3, None), (None, 1)], "doc_id long, grade int")
+    texts = frame(spark, ["", "a", "b", "c " * 60_000, None])
+    slots, grades = quality.rated_sample(texts, both, "doc_id", "text", "grade", 100)
+    assert grades.tolist() == [0, 2] and len(slots) == 2
+    one = quality.fit([np.array([1], np.int32)] * 5, np.array([1] * 5))
+    assert np.isfinite(one.thresholds).all() and one.tails(np.array([one.score(np.array([1]))]))[0, -1] > 0.9
+    extra = texts.withColumn("selected", F.lit("own")).withColumn("tail_1", F.lit(1))
+    out = quality.grade(extra.unionByName(extra.where("doc_id = 1")), one, keep_cols=True)
+    assert out.count() == 6 and dict(out.dtypes)["selected"] == "boolean"
+
+
+def test_convolution_equals_loops():
+    rng = np.random.default_rng(4)
+    windows = [langid.to_windows(t)[0] for t in ("Some English words", "été à la mer " * 20, "x")]
+    net = langid.fit(np.stack(windows * 8), np.array([0, 1, 2] * 8), ["a", "b", "c"], epochs=2, batch=8)
+    net.bias[:] = rng.normal(size=net.bias.shape)
+    for x in windows:
+        tops = []
+        for table in net.tables:
+            w, _, filters = table.shape
+            tops += [max(sum(float(table[j, x[i + j], f]) for j in range(w)) for i in range(len(x) - w + 1)) for f in range(filters)]
+        z = np.maximum(np.array(tops) + net.bias, 0) @ net.dense + net.offset
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(net.probabilities(x[None])[0], want, atol=1e-4)
+    text = "é" * 500
+    assert b"".join(w.tobytes() for w in langid.to_windows(text)).rstrip(b"\0") == text.encode()
+
+
+def test_languages_of_null_ids_and_repeated_rows(spark):
+    docs = frame(spark, ["the words of a text", "the words of a text", None]).withColumn("lang_pred", F.lit("own"))
+    docs = docs.unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    net = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = langid.predict(docs, net).withColumn("held_out", langid.held_out(F.col("doc_id"))).collect()
+    assert len(rows) == 4 and len({(r["lang_pred"], r["score"]) for r in rows if r["doc_id"] != 2}) == 1
+    assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False]
+    assert langid.predict(docs.limit(0), net).count() == 0
+
+
 def test_language(spark):
     more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op8_langid(spark, "/root/testdata/sf0.01").join(more.select("doc_id", "lang"), "doc_id").toPandas()
@@ -289,12 +370,66 @@ def test_fingerprints(spark, docs):
         a, b, r = cut(text), cut(edited), got[doc]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(r["near_edited"] - len(a & b) / len(a | b)) < 0.15
+        c = cut(after)
+        assert abs(r["near_next"] - len(a & c) / len(a | c)) < 0.15
     edge = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(frame(spark, ["", None, "a b", "a b", "one two three four five six"])).collect()}
     assert edge[0]["fingerprint"] == edge[1]["fingerprint"] == "" and edge[0]["near_next"] == 1.0 and edge[2]["fingerprint"] == edge[3]["fingerprint"]
     assert fingerprints.fingerprint_edits(frame(spark, ["only one"])).first()["near_next"] == 1.0
     assert fingerprints.fingerprint_edits(frame(spark, [])).count() == 0
 
 
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    rows = [(None, "n two"), (None, "m one"), (5, "b b b"), (5, "a a a"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("edited", F.lit("own"))
+    got = fingerprints.fingerprint_edits(df).collect()
+    order = ["m one", "n two", "a a a", "b b b", ""]
+    want = sorted((t, fingerprints.edited_text(t, order[(i + 1) % 5])) for i, t in enumerate(order))
+    assert sorted((r["text"], r["edited"]) for r in got) == want
+
+
+def test_bpe_and_packing_of_null_and_repeated_ids(spark, library):
+    rows = [(None, "one text"), (None, None), (3, "two"), (3, "two"), (4, "x " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("own"))
+    ids = bpe.encode_texts(df).collect()
+    key = lambda r: (r[0] or -1, r[1])
+    want = [(i, np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()) for i, t in rows]
+    assert sorted(((r["doc_id"], bytes(r["ids"])) for r in ids), key=key) == sorted(want, key=key)
+    pieces = packing.pack(df).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(b) // 4 + 1 for _, b in want)
+    assert {r["doc_id"] for r in pieces} == {None, 3, 4} and sum(r["doc_id"] == 3 and r["start"] == 0 for r in pieces) == 2
+
+
+def test_ngram_join_of_long_texts(spark):
+    long = " ".join(f"w{i % 7919}x{i // 7919}" for i in range(60_000))
+    texts = [long, long + " and more", " ".join(long.split()[:40_000]), "a b c d e"]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.components(frame(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, clashing names and empty tables through each stage."""
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    real = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "The words of a text that has no id.", None, None, None), (900_001, None, None, "s", 0), (900_002, "", "en", None, 0), (900_003, "12 34", None, None, None)], real.schema)
+    docs = real.unionByName(real.limit(5)).unionByName(odd)
+    for c in ("component_id", "score", "lang_pred", "selected", "part", "n", "digest", "key"):
+        docs = docs.withColumn(c, F.lit("own"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns and out.exceptAll(docs).isEmpty()
+            assert out.agg(F.min("key"), F.max("score")).first()[:] == ("own", "own")
+        else:
+            assert out.agg(F.count_if(F.col("start") == 0)).first()[0] == docs.count()
+        assert step(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = corpus_pipeline.near_copy_stage(spark, docs, str(tmp_path))
+    assert kept.where("doc_id is null or doc_id > 900000").count() == 4 and kept.groupBy("doc_id", "text").count().where("count > 1 and doc_id is not null").isEmpty()
+    told = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, str(tmp_path)).collect()}
+    assert not told & {900_001, 900_002, 900_003}
+
+
 def test_sketches_merge(spark, docs):
     parts = fingerprints.fingerprints(docs).join(docs.select("doc_id", "lang"), "doc_id")
     merged = {r["lang"]: np.array(r["sketch"], np.uint64) for r in fingerprints.merge_sketches(parts, "lang").collect()}
@@ -308,6 +443,18 @@ def test_sketches_merge(spark, docs):
     assert (fingerprints.unpack_sketch(fingerprints.pack_sketch(a)) == a).all()
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_equal_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
+
+
 def brute_groups(rows):
     sets = {i: set(ngram_join.shingle_set(t).tolist()) for i, t in rows}
     root = {i: i for i in sets}
