@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,8 +12,17 @@ SLICE_ROWS = 512
 SLICE_BYTES = 8 << 20
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker process outlives its tasks, one operator's after another."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that a body holds few rows, fewer when rows are long."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -20,6 +30,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, min(SLICE_ROWS, SLICE_BYTES // per_row))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    release()
 
 
 def arrow_schema(fields: list[tuple[str, pa.DataType]]) -> pa.Schema:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .arrow import arrow_schema, slices
+from .arrow import arrow_schema, release, slices
 from .graph import connected_components
 
 #: Probability that a pair at the threshold meets in some bucket.
@@ -178,6 +178,7 @@ def _groups(batches, keys: int):
     """Runs of rows with equal first ``keys`` columns, which may cross batches."""
     held: list[pa.RecordBatch] = []
     last = None
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue

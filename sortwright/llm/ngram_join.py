@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .arrow import arrow_schema, slices
+from .arrow import arrow_schema, release, slices
 from .embeddings import _groups, _roots
 from .fingerprints import MEMO_ENTRIES, _STEP, mix
 from .graph import connected_components
@@ -343,6 +343,7 @@ def _meet(indexed: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         blocks: list[bytes] = []
+        release()
         for rows in batches:
             part = rows.filter(rows.column(6).is_null())
             if part.num_rows:

@@ -34,7 +34,7 @@ LASSO = 3e-4
 #: Probability of the top grade from which a document is selected.
 SELECT = 0.75
 EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 
 _MASK = (1 << BITS) - 1
 
