@@ -11,9 +11,10 @@ from __future__ import annotations
 import base64
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import arrow_schema, slices
@@ -22,6 +23,9 @@ WORDS = 5
 K = 256
 HASH_BITS = 48
 MEMO_ENTRIES = 200_000
+#: Bytes of text that a range of ids is meant to hold, and ranges that a task is meant to get.
+RANGE_BYTES = 1 << 27
+TASK_RANGES = 4
 
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -113,23 +117,36 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def _range_of(cuts: list, kind: str) -> Column:
+    """The range of a key k: how many cuts are not above it, by binary search (a null key: 0)."""
+    ends = np.array(cuts)
+
+    @F.pandas_udf("int")
+    def place(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends, k.to_numpy(), side="right").astype(np.int32))
+
+    return F.when(F.col("k").isNull(), 0).otherwise(place(F.coalesce("k", F.lit(cuts[0]).cast(kind))))
+
+
+def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt so that a task sees each row's successor by ascending id.
 
     Returns (part, guest, k, t), sorted within partitions: ranges of ids are kept
     together, each followed by a guest row, which is the first row of the next range
     (after the last range: of the first). Texts cross the network once. Rows with
-    equal ids follow each other by text; null ids come first.
+    equal ids follow each other by text; null ids come first. Ranges and tasks follow
+    the bytes of the texts, so neither grows with the table; rows of one id are one range.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or 4 * n
     src = df.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    # At most parts - 1 ids come to the driver.
-    cuts = src.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"]
+    held = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held // (RANGE_BYTES * TASK_RANGES))
+    parts = TASK_RANGES * tasks
+    # At most one id a range comes to the driver.
+    shares = F.lit(np.arange(1, parts) / parts)
+    cuts = src.agg(F.percentile_approx("k", shares, max(10_000, 4 * parts)).alias("q")).first()["q"]
     cuts = sorted(set(cuts or []))
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("k"))) if cuts else F.lit(0)
-    dealt = src.withColumn("part", F.when(F.col("k").isNull(), 0).otherwise(below).cast("int"))
+    dealt = src.withColumn("part", _range_of(cuts, src.schema["k"].dataType.simpleString()) if cuts else F.lit(0))
     ends = dealt.groupBy("part").agg(F.min("k").alias("first"), F.max(F.col("k").isNull()).alias("null_first"))
     order = Window.orderBy("part")
     everything = Window.partitionBy(F.lit(0))
@@ -142,7 +159,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
     both = dealt.select("part", F.lit(False).alias("guest"), "k", "t").unionByName(
         guests.select(F.col("to").alias("part"), F.lit(True).alias("guest"), "k", "t")
     )
-    return both.repartition(n, "part").sortWithinPartitions("part", "guest", "k", "t")
+    return both.repartition(tasks, "part").sortWithinPartitions("part", "guest", "k", "t")
 
 
 def fingerprint_edits(

@@ -378,6 +378,17 @@ def test_fingerprints(spark, docs):
     assert fingerprints.fingerprint_edits(frame(spark, [])).count() == 0
 
 
+def test_fingerprints_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 64)
+    texts = {(1 << 60) + 4099 * i: f"text {i} of many " * (1 + i % 5) for i in range(300)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    dealt = fingerprints.with_next(df)
+    assert dealt.rdd.getNumPartitions() > 8 and dealt.where("not guest").select("part").distinct().count() > 100
+    order = list(texts.values())
+    got = {r["doc_id"]: r["edited"] for r in fingerprints.fingerprint_edits(df).collect()}
+    assert got == {k: fingerprints.edited_text(t, order[(i + 1) % 300]) for i, (k, t) in enumerate(texts.items())}
+
+
 def test_fingerprints_of_null_and_repeated_ids(spark):
     rows = [(None, "n two"), (None, "m one"), (5, "b b b"), (5, "a a a"), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("edited", F.lit("own"))
