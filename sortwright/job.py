@@ -40,16 +40,26 @@ def _split_size(spark: SparkSession, megabytes: int):
         spark.conf.set(name, before)
 
 
+def _is_shared(spark: SparkSession, path) -> bool:
+    """Whether a qualified path is the folder that the cluster names as shared, or lies below it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        return False
+    fs, top = fs_of(spark, named)
+    return f"{path}/".startswith(f"{fs.makeQualified(top)}/")
+
+
 def job_root(spark: SparkSession, options: SortOptions) -> str:
     """The folder of a job's checkpoint, which driver and executors must share.
 
     Without a ``temp_dir`` it lies in the working folder of a local session and below
-    ``spark.checkpoint.dir`` on a cluster; there a path of no file system is refused.
+    ``spark.checkpoint.dir`` on a cluster. There a path of no file system is refused, unless
+    it lies below that folder, which is shared whether it is named with a scheme or without.
     """
     local = spark.sparkContext.master.startswith("local")
     base = options.temp_dir or ("./tmp-sort" if local else f"{shared_root(spark)}/tmp-sort")
     fs, path = fs_of(spark, base)
-    if not local and fs.getUri().getScheme() == "file" and ":" not in base:
+    if not local and fs.getUri().getScheme() == "file" and ":" not in base and not _is_shared(spark, fs.makeQualified(path)):
         raise ValueError("on a cluster temp_dir names a folder that all executors share, with its scheme")
     return f"{base.rstrip('/')}/sortwright-job"
 

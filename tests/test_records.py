@@ -4,6 +4,7 @@ import dataclasses
 import json
 import os
 import sys
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sortwright import cli
 from sortwright.functions.records import parse
-from sortwright.job import run_sort
+from sortwright.job import job_root, run_sort
 from sortwright.model import GeneratorOptions, InvalidMode, LineMode, SortOptions, TempPolicy
 from sortwright.operators.modes import apply_mode
 from sortwright.operators.sorting import with_position
@@ -182,6 +183,19 @@ def test_resume_after_ingest(spark, tmp_path):
     assert (tmp_path / "out.txt").read_text() == "9. new\n"
 
 
+@pytest.mark.parametrize("named", ["/shared/run", "file:///shared/run/"])
+def test_a_cluster_takes_temp_folders_below_the_shared_one(spark, named):
+    # What a session of a standalone cluster tells; paths alone are looked at.
+    sc = spark.sparkContext
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", _jvm=sc._jvm, _jsc=sc._jsc, getConf=lambda: {"spark.checkpoint.dir": named}))
+    root = lambda temp: job_root(cluster, SortOptions("in", "out", temp))
+    assert root("/shared/run/job/temp") == "/shared/run/job/temp/sortwright-job"
+    assert root(None) == f"{named.rstrip('/')}/tmp-sort/sortwright-job"
+    for other in ("/tmp/x", "/shared/runs", "./tmp-sort"):
+        with pytest.raises(ValueError, match="scheme"):
+            root(other)
+
+
 def test_runs():
     assert len(runs.encode_record(12345, "Hello World")) == 21
     rows = [(2**64 - 1, "x" * 90), (1, "")]
