@@ -13,9 +13,11 @@ than that, and an agreeing subset is common for both sets or for neither.
 
 Set ids that meet under a signature are candidates. They are verified in two rounds,
 so that a large group of near copies never becomes all its pairs. Every member of a
-signature's group is paired with the smallest one; sizes and parity sketches, whose
-distance can't exceed the number of differing tokens, drop most wrong pairs; one pair
-a member is verified exactly, and components are formed. Then only pairs and groups
+signature's group is paired with the smallest one; of its pairs from groups of three and
+more a member keeps the one that most of its signatures name, as the second round looks
+at these groups again. Sizes and parity sketches, whose distance can't exceed the number
+of differing tokens, drop most wrong pairs; one pair a member is verified exactly, and
+components are formed. Then only pairs and groups
 that still hold several components are looked at again: their members are compared
 across components, in cells of bounded size, by sizes and sketches; a task gets each
 sketch once, and the groups as ids. What passes connects families, whose sets are read
@@ -334,9 +336,10 @@ def _index(docs: DataFrame, plan: Plan, deals: int, width: int) -> DataFrame:
 def _meet(indexed: DataFrame, percent: int) -> DataFrame:
     """Pass documents on; turn a deal's postings into stars (a, b) and groups (key, members) of three and more ids.
 
-    Of the ids under a signature each is paired with the one of the smallest size that it can link with.
+    Of the ids under a signature each is paired with the one of the smallest size that it can link with;
+    ``votes`` are the signatures that name a pair, ``alone`` tells that a group of two is among them.
     """
-    schema = arrow_schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cid", pa.int64()), ("odd", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("members", pa.binary())])
+    schema = arrow_schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cid", pa.int64()), ("odd", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("votes", pa.int64()), ("alone", pa.bool_()), ("key", pa.int64()), ("members", pa.binary())])
 
     def rows_of(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
@@ -370,10 +373,13 @@ def _meet(indexed: DataFrame, percent: int) -> DataFrame:
         count = np.diff(np.append(start, len(sig)))
         place = np.cumsum(new) * 1024 + (cid & 255)
         hub = cid[np.searchsorted(place, place - code_span(percent))]
-        pair = np.unique(np.stack([cid, hub], axis=1)[cid != hub], axis=0)
+        two = np.repeat(count == 2, count)[cid != hub]
+        pair, named, votes = np.unique(np.stack([cid, hub], axis=1)[cid != hub], axis=0, return_inverse=True, return_counts=True)
+        alone = np.bincount(named.reshape(-1)[two], minlength=len(pair)) > 0
         for i in range(0, len(pair), 1 << 16):
-            p = pair[i : i + (1 << 16)]
-            yield rows_of(len(p), a=pa.array(np.ascontiguousarray(p[:, 0])), b=pa.array(np.ascontiguousarray(p[:, 1])))
+            w = slice(i, i + (1 << 16))
+            p = pair[w]
+            yield rows_of(len(p), a=pa.array(np.ascontiguousarray(p[:, 0])), b=pa.array(np.ascontiguousarray(p[:, 1])), votes=pa.array(votes[w], pa.int64()), alone=pa.array(alone[w]))
         done, held, size = set(), [], 0
         for s, c in zip(start[count > 2].tolist(), count[count > 2].tolist(), strict=True):
             ids = cid[s : s + c]
@@ -389,7 +395,17 @@ def _meet(indexed: DataFrame, percent: int) -> DataFrame:
         if held:
             yield rows_of(len(held), key=pa.array([k for k, _ in held], pa.int64()), members=pa.array([m for _, m in held], pa.binary()))
 
-    return indexed.mapInArrow(run, "doc long, n long, digest binary, cid long, odd binary, a long, b long, key long, members binary")
+    return indexed.mapInArrow(run, "doc long, n long, digest binary, cid long, odd binary, a long, b long, votes long, alone boolean, key long, members binary")
+
+
+def _first_pairs(stars: DataFrame) -> DataFrame:
+    """Of stars (a, b, votes, alone) the pairs (a, b) of the first round: those of a group of two, and each a's most named one.
+
+    A group of two has no other row; the pairs left out are in groups that ``_across`` compares.
+    """
+    each = stars.groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.bool_or("alone").alias("alone"))
+    kept = each.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("most"), F.collect_list(F.when(F.col("alone"), F.col("b"))).alias("alone"))
+    return kept.select("a", F.explode(F.array_union("alone", F.array("most.b"))).alias("b"))
 
 
 def _open_pair(na: int, nb: int, oa: bytes, ob: bytes, percent: int) -> bool:
@@ -536,6 +552,18 @@ def _stars(pairs, n: int) -> tuple[np.ndarray, np.ndarray]:
     return leaf[leaf != root], root[leaf != root]
 
 
+def _lowest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the lowest one that pairs (p, q) connect it with."""
+    low = np.arange(n)
+    while (low[p] != low[q]).any():
+        least = np.minimum(low[p], low[q])
+        np.minimum.at(low, low[p], least)
+        np.minimum.at(low, low[q], least)
+        while (low[low] != low).any():
+            low = low[low]
+    return low
+
+
 class _Cell:
     """What one task compares of a family: of one part all members, of two parts those of different parts."""
 
@@ -608,7 +636,8 @@ def _across(members: DataFrame, info: DataFrame, parts: DataFrame, percent: int,
     size is that of the group. Groups with the same smallest member mostly are one
     family's; they go to one lane, or by their number of rows to several, and a group
     larger than ``block`` to the lanes of its cells. A lane gets the sketch of each of
-    its members once and its groups as ids; it returns an edge once.
+    its members once and its groups as ids; it returns one star for what its groups'
+    stars connect, so its rows are fewer than its members.
     """
     labelled = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("rep").alias("hub"), F.count(F.lit(1)).alias("rows")).where("x < y").drop("x", "y")
@@ -639,11 +668,11 @@ def _across(members: DataFrame, info: DataFrame, parts: DataFrame, percent: int,
             for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 m, sides = at[s:e], side[s:e] if side[s] >= 0 else None
                 leaf, root = _stars(_open_pairs(sketches, n[m], comp[m], sides, percent, m), len(m))
-                held.append(np.stack([reps[m[leaf]], reps[m[root]]], axis=1))
-            pair = np.unique(np.concatenate(held), axis=0)
-            pair = np.stack([pair.max(axis=1), pair.min(axis=1)], axis=1) if len(pair) else pair
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)], names=["a", "b"])
+                held.append((m[leaf], m[root]))
+            low = _lowest(len(reps), *(np.concatenate(x) for x in zip(*held, strict=True)))
+            leaf = np.flatnonzero(low != np.arange(len(reps)))
+            if len(leaf):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[leaf]), pa.array(reps[low[leaf]])], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -700,7 +729,7 @@ def components(
     # 64-bit id are different classes, so a clash of ids costs comparisons only.
     info = stage(seen.where("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.first("cid").alias("cid"), F.first("n").alias("n"), F.first("odd").alias("odd")), "classes")
     clash = info.groupBy("cid").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x != y").select(F.col("y").alias("a"), F.col("x").alias("b"))
-    near = stage(_near_pairs(met.where("a is not null").select("a", "b").distinct(), info, percent).unionByName(clash), "pairs")
+    near = stage(_near_pairs(_first_pairs(met.where("a is not null").select("a", "b", "votes", "alone")), info, percent).unionByName(clash), "pairs")
     links = stage(_verified_star(docs, near.groupBy("a").agg(F.min("b").alias("b")), percent, width), "links")
     several = _several_sets(seen)
     if several is not None:

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sortwright.llm import bpe, embeddings, fingerprints, graph, html_text, langid, ngram_join, packing, quality, queries, quotes, token_counts
+from sortwright.staging import stage
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string"
@@ -481,6 +482,53 @@ def test_ngram_join(spark, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op10_ngram_join(spark, DATA).collect()} == brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_ngram_join_rows_follow_members(spark, monkeypatch):
+    """What is joined for a large group of near copies follows its members, not the hubs that they share."""
+    rng, made = np.random.default_rng(5), []
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(400, int(rng.integers(3, 9)), replace=False).tolist():
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    near, meet = ngram_join._near_pairs, ngram_join._meet
+
+    def met(*args):
+        stars = stage(meet(*args), "met")
+        made.append(stars.where("alone").select("a", "b").distinct().count() if "alone" in stars.columns else 0)
+        return stars
+
+    def looked_at(pairs, *args):
+        made.append(pairs.count())
+        return near(pairs, *args)
+
+    monkeypatch.setattr(ngram_join, "_meet", met)
+    monkeypatch.setattr(ngram_join, "_near_pairs", looked_at)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+    # One pair of each, and those of groups of two; before this was so, 1,872.
+    assert made[1] <= len(rows) + made[0]
+    assert made[1] < 1000, made
+
+
+def test_ngram_join_first_pairs(spark):
+    stars = [(5, 1, 2, False), (5, 2, 3, False), (5, 2, 1, False), (5, 3, 1, True), (6, 1, 1, True), (7, 2, 1, True), (7, 2, 1, False)]
+    got = ngram_join._first_pairs(spark.createDataFrame(stars, "a long, b long, votes long, alone boolean")).collect()
+    assert sorted(tuple(r) for r in got) == [(5, 2), (5, 3), (6, 1), (7, 2)]
+
+
+def test_lowest_of_connected_places():
+    rng = np.random.default_rng(3)
+    for n, edges in ((1, 0), (40, 15), (40, 60), (300, 299)):
+        p, q = (np.arange(299), np.arange(1, 300)) if edges == 299 else (rng.integers(0, n, edges), rng.integers(0, n, edges))
+        want = list(range(n))
+        for _ in range(n):
+            for x, y in zip(p.tolist(), q.tolist()):
+                want[x] = want[y] = min(want[x], want[y])
+        assert ngram_join._lowest(n, p, q).tolist() == want
+
+
 def test_ngram_join_families(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(160)]
