@@ -8,8 +8,9 @@ such pairs is built from the vocabulary and used twice:
 * between words: if no token holds a visible character's last byte before a space,
   text is cut before each single space that stands between two of them. The
   pre-tokenizer also never looks across such a place, so fragments repeat like
-  words do and are memoised in a bounded table;
-* inside the pre-tokens of a fragment: at every pair the table rules out.
+  words do and are memoised in a bounded table. ``encode_all`` encodes the short
+  ones that are new to it together, in one call, and takes them apart at these cuts;
+* inside the pre-tokens of a fragment encoded alone: at every pair the table rules out.
 
 Results equal those of the ``tokenizers`` library for the same file with
 ``add_special_tokens=False``; added tokens that occur literally in a text become
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import struct
 from functools import lru_cache
+from itertools import filterfalse, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Fragments that are remembered, and the longest one that is.
 MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
+#: Characters of texts whose new fragments are encoded together; a longer text stands alone.
+GROUP_CHARS = 1 << 20
 
 
 def printable_bytes() -> dict[str, int]:
@@ -95,6 +99,7 @@ class ForcedBoundaryBPE:
             self.bytes_of[i] = b
         for t, i in self.added.items():
             self.bytes_of[i] = t.encode()
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         #: inside[x, y]: some token holds byte x directly before byte y.
         self.inside = np.zeros((256, 256), dtype=bool)
         for b in raw:
@@ -132,10 +137,54 @@ class ForcedBoundaryBPE:
                     ids.extend(encode(piece))
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _plain(self, text: str) -> bytes:
+    def _learn(self, rows: list[list[str]]) -> None:
+        """Memoise the fragments of split texts that are new, from one call: between certain cuts each has the ids it has alone."""
+        inner = self.inner
+
+        def new() -> list[str]:
+            parts = set()
+            for row in rows:
+                parts.update(filterfalse(inner.__contains__, islice(row, 1, None)))
+            return [w for w in parts if w and len(w) <= MEMO_CHARS and not w[0].isspace() and not w[-1].isspace()]
+
+        words = new()
+        if len(inner) + len(words) > MEMO_ENTRIES:
+            inner.clear()
+            words = new()[:MEMO_ENTRIES]  # what is left is encoded one by one, as it is met
+        if not words:
+            return
+        ids = np.frombuffer(self.core.encode_to_tiktoken_buffer(" " + " ".join(words), set()), np.uint32)
+        stops = np.cumsum(np.fromiter((1 + len(w.encode()) for w in words), np.int64, len(words)))
+        ends = np.cumsum(self.lengths[ids])
+        at = np.searchsorted(ends, stops)
+        if not np.array_equal(ends[at], stops):
+            raise AssertionError("a token lies across a certain cut")
+        packed = ids.astype("<u4").tobytes()
+        inner.update(zip(words, (packed[a:b] for a, b in pairwise([0, *(4 * at + 4).tolist()])), strict=True))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """What ``encode`` gives for each of the texts."""
+        if not self.word_cuts:
+            return list(map(self.encode, texts))
+        out, at = [], 0
+        while at < len(texts):
+            stop, chars = at, 0
+            while stop < len(texts) and (stop == at or chars + len(texts[stop] or "") <= GROUP_CHARS):
+                chars += len(texts[stop] or "")
+                stop += 1
+            rows = [t.split(" ") if t and not self._marked(t) else [] for t in texts[at:stop]]
+            self._learn(rows)
+            out += [self._plain(t, row) if row else self.encode(t) for t, row in zip(texts[at:stop], rows, strict=True)]
+            at = stop
+        return out
+
+    def _marked(self, text: str) -> bool:
+        return self.marks is not None and any(m in text for m in self.added)
+
+    def _plain(self, text: str, parts: list[str] | None = None) -> bytes:
         if not self.word_cuts:
             return self.fragment(text)
-        head, *rest = text.split(" ")
+        head, *rest = parts or text.split(" ")
         try:
             if not rest:
                 return self.fragment(text)
@@ -156,7 +205,7 @@ class ForcedBoundaryBPE:
         """Ids of a whole text (null: empty), as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.marks is None or not any(m in text for m in self.added):
+        if not self._marked(text):
             return self._plain(text)
         out = []
         for k, part in enumerate(self.marks.split(text)):

@@ -36,7 +36,7 @@ def token_runs(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_i
         part, before = TaskContext.get().partitionId(), 0
         for rows in slices(batches):
             schema = arrow_schema([("part", pa.int64()), ("doc", rows.schema.field(0).type), ("local_start", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
-            ids = [np.frombuffer(c.encode(t), "<u4").astype(width).tobytes() + end for t in rows.column(1).to_pylist()]
+            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() + end for x in c.encode_all(rows.column(1).to_pylist())]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // len(end)
             starts = before + np.cumsum(n) - n
             before += int(n.sum())

@@ -51,6 +51,23 @@ def test_codecs_equal_libraries(text):
     assert token_counts.counter(token_counts.PIECE_BPE).count(text) == len(pieces.encode(text))
 
 
+def test_new_fragments_are_encoded_together(library, monkeypatch):
+    """One by one they took most of op2_packing's time: its texts hold about one new word in six."""
+    words = [f"{a}{b}{c}" for a in ("wi", "Tho,", "é", "日本", "don't", "x\n") for b in range(40) for c in ("", "ng.", "ñas", "\ny")]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, len(words), 30)]
+    c, alone = bpe.ForcedBoundaryBPE(), []
+    monkeypatch.setattr(c, "fragment", lambda text, f=c.fragment: alone.append(text) or f(text))
+    texts += [*EDGE, None, "", "a" * 60 + " " + "b" * 60, "x \x1cy z", "x\u2028 y"]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert c.encode_all(texts) == want
+    assert not {" " + w for w in words} & set(alone) and len(alone) < 100
+    for entries, chars in ((50, 1 << 20), (400_000, 200), (300, 1000)):
+        monkeypatch.setattr(bpe, "MEMO_ENTRIES", entries)
+        monkeypatch.setattr(bpe, "GROUP_CHARS", chars)
+        c = bpe.ForcedBoundaryBPE()
+        assert c.encode_all(texts) == want and c.encode_all(texts[::-1]) == want[::-1] and len(c.inner) <= entries
+
+
 def test_bpe_query(spark, docs, library):
     got = {r["doc_id"]: r for r in queries.op1_bpe(spark, DATA).collect()}
     for r in docs.collect():
